@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing
+from . import langid, mixing, pii
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
     "op10_language_id": langid.op10_language_id,
 }
 SQL = {"op1_mix_sources": mixing.OP1_SQL}
