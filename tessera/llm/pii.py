@@ -10,7 +10,7 @@ different values of a format get different ones. Nothing is shuffled and no stat
 |-|-|-|-|
 | email | shape | last label of the domain, punctuation | letters and digits of the local part; of the domain, as a value of its own |
 | iban | mod 97 | country, grouping | account; check digits are computed anew |
-| ip | four octets of at most 255 | a first octet of 0 or over 223 | octets |
+| ip | four octets of at most 255 | a first octet of 0; unicast and other ranges | octets |
 | ssn | valid area, group and serial | dashes | area, group, serial within their valid ranges |
 | phone | 7 to 15 digits | country code, punctuation | digits; North American codes stay valid |
 | date | calendar, 1904 to 2099 | format, 28-year period | day within the period; a/b/year is month first unless a > 12 |
@@ -147,10 +147,10 @@ def _phone(hit: Column, key: str) -> Column:
 def _ip(hit: Column, key: str) -> Column:
     def swap(v: Column) -> Column:
         first = F.get(v, F.lit(0))
-        usual = first.between(1, 223)
-        values = F.transform(v, lambda x, i: F.when(i > 0, x).otherwise(F.when(usual, x - 1).otherwise(0)))
-        radices = F.transform(v, lambda x, i: F.when(i > 0, 256).otherwise(F.when(usual, 223).otherwise(1)).cast("long"))
-        new = F.transform(feistel(values, radices, key, "ip"), lambda x, i: F.when(i > 0, x).otherwise(F.when(usual, x + 1).otherwise(first)).cast("string"))
+        low = F.when(first == 0, 0).when(first < 224, 1).otherwise(224).cast("long")
+        values = F.transform(v, lambda x, i: F.when(i > 0, x).otherwise(x - low))
+        radices = F.transform(v, lambda x, i: F.when(i > 0, 256).when(low == 1, 223).when(low == 0, 1).otherwise(32).cast("long"))
+        new = F.transform(feistel(values, radices, key, "ip"), lambda x, i: F.when(i > 0, x).otherwise(x + low).cast("string"))
         return F.when(F.forall(v, lambda x: x <= 255), F.array_join(new, ".")).otherwise(hit)
 
     return let(F.transform(F.split(hit, r"\."), lambda x: x.cast("long")), swap)
