@@ -32,7 +32,7 @@ class _Lane:
     """One hash function: a table of byte values and powers of an odd multiplier and of its inverse."""
 
     def __init__(self, seed: int):
-        self.values = mix(np.arange(256, dtype=U) + U(0x9E3779B97F4A7C15) * U(2 * seed + 1))
+        self.values = mix(np.arange(256, dtype=U) + U(0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64)))
         r = int(mix(np.array([seed + 1001], U))[0]) | 5
         self.r, self.inv = U(r), U(pow(r, -1, 1 << 64))
         self.up = self.down = np.ones(0, U)
