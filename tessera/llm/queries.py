@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dsir, langid, lsh_forest, mixing, pii, pivot_topk, spm_wfst, substring_cms
+from . import dsir, langid, lsh_forest, mixing, nn_descent, pii, pivot_topk, spm_wfst, substring_cms
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_near_duplicates": lsh_forest.op6_near_duplicates,
     "op7_substring_dedup": substring_cms.op7_substring_dedup,
     "op8_sentencepiece": spm_wfst.op8_sentencepiece,
+    "op9_nearest_neighbours": nn_descent.op9_nearest_neighbours,
     "op10_language_id": langid.op10_language_id,
 }
 SQL = {"op1_mix_sources": mixing.OP1_SQL, "op3_exact_topk": pivot_topk.OP3_SQL}
