@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import dsir, langid, lsh_forest, mixing, nn_descent, pii, pivot_topk, spm_wfst, substring_cms
+from . import dsir, langid, lsh_forest, mixing, nn_descent, pii, pivot_topk, spm_wfst, substring_cms, suffix_family
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_pii_pseudonyms": pii.op2_pii_pseudonyms,
     "op3_exact_topk": pivot_topk.op3_exact_topk,
+    "op4_suffix_dedup": suffix_family.op4_suffix_dedup,
     "op5_importance_resampling": dsir.op5_importance_resampling,
     "op6_near_duplicates": lsh_forest.op6_near_duplicates,
     "op7_substring_dedup": substring_cms.op7_substring_dedup,

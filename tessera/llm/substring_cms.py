@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -59,7 +60,7 @@ def cells(h: np.ndarray) -> Iterator[np.ndarray]:
         yield (mix(h + U(d * 0x9E3779B9 + 1)) >> U(64 - CELL_BITS)).astype(np.int64)
 
 
-def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(strings, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[np.ndarray] = []
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -80,7 +81,7 @@ def _sketch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 })
 
     for batch in it:
-        for h, _, _, _ in _windows(batch):
+        for h, _, _, _ in strings(batch):
             kept.append(h)
             if sum(map(len, kept)) > RUN:
                 yield from out()
@@ -99,8 +100,8 @@ def _merge(key, t):
 class Repeated:
     """The merged sketch: bitmaps of the counters of at least 2."""
 
-    def __init__(self, docs: DataFrame):
-        got = docs.mapInArrow(_sketch, "segment int, cells binary, counts binary").groupBy("segment").applyInArrow(_merge, "segment int, bits binary, n long").toArrow()
+    def __init__(self, docs: DataFrame, strings=_windows):
+        got = docs.mapInArrow(partial(_sketch, strings), "segment int, cells binary, counts binary").groupBy("segment").applyInArrow(_merge, "segment int, bits binary, n long").toArrow()
         self.bits = np.zeros((DEPTH << (CELL_BITS - SEGMENT), 1 << (SEGMENT - 3)), np.uint8)
         for s, b in zip(got["segment"].to_pylist(), got["bits"], strict=True):
             self.bits[s] = np.frombuffer(b.as_buffer(), np.uint8)
