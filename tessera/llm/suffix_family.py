@@ -92,17 +92,28 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.stack([lo[at], hi[np.append(at[1:], len(lo)) - 1] if len(lo) else hi], 1).astype(np.int64)
 
 
-def _mark_rows(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict:
-    """Marked string starts [lo, hi) by id, as packed pairs."""
-    order = np.argsort(ids, kind="stable")
-    ids, lo, hi = ids[order], lo[order], hi[order]
-    cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    ends = [*cut[1:], len(ids)]
-    return {"id": pa.array(ids[cut], pa.int64()), "at": pa.array([spans(lo[a:b], hi[a:b]).tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())}
+def _mark_rows(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: int) -> pa.Table:
+    """Marked string starts [lo, hi) as packed triples with their id, a row for each part of the ids."""
+    part = (mix(ids.view(U)) % U(parts)).astype(np.int32)
+    order = np.lexsort((lo, ids, part))
+    part, ids, lo, hi = part[order], ids[order], lo[order], hi[order]
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (lo[1:] != hi[:-1])]) if len(ids) else np.zeros(0, bool)
+    at = np.flatnonzero(new)  # stretches that follow each other are one
+    rows = np.stack([ids[at], lo[at], hi[np.append(at[1:], len(ids)) - 1] if len(ids) else hi], 1)
+    own, cut = np.unique(part[at], return_index=True)
+    return pa.table({"part": pa.array(own, pa.int32()), "marks": pa.array([x.tobytes() for x in np.split(rows, cut[1:])[: len(own)]], pa.binary())})
 
 
-def _second(shared, groups: int):
-    """Rows of distinct runs for the buckets (packed) and of marks (id, at)."""
+def _by_id(key, t):
+    """One row for each id of a part: its spans, as packed pairs."""
+    m = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t["marks"]]).reshape(-1, 3)
+    m = m[np.argsort(m[:, 0], kind="stable")]
+    ids, cut = np.unique(m[:, 0], return_index=True)
+    return pa.table({"id": pa.array(ids, pa.int64()), "at": pa.array([spans(x[:, 1], x[:, 2]).tobytes() for x in np.split(m, cut[1:])[: len(ids)]], pa.binary())})
+
+
+def _second(shared, groups: int, parts: int):
+    """Rows of distinct runs for the buckets (packed) and of marks by part."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep = shared.value
@@ -112,11 +123,10 @@ def _second(shared, groups: int):
         def out() -> Iterator[pa.RecordBatch]:
             m = np.array(marks, np.int64).reshape(-1, 3)
             marks.clear()
-            rows = _mark_rows(m[:, 0], m[:, 1], m[:, 1] + m[:, 2])
-            to = (mix(rows["id"].to_numpy().view(U)) % U(groups)).astype(np.int32)
-            for lo in range(0, len(to), 4096):
-                part = pa.array(to[lo : lo + 4096])
-                yield pa.RecordBatch.from_pydict({"bucket": part, "id": rows["id"].slice(lo, 4096), "at": rows["at"].slice(lo, 4096), "ids": (none := pa.nulls(len(part), pa.binary())), "places": none, "sizes": none, "blob": none})
+            rows = _mark_rows(m[:, 0].copy(), m[:, 1], m[:, 1] + m[:, 2], parts).combine_chunks()
+            none = pa.nulls(rows.num_rows, pa.binary())
+            # a mark only passes through a bucket: any will do
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["part"].to_numpy() % groups, pa.int32()), "part": rows["part"].combine_chunks(), "marks": rows["marks"].combine_chunks(), "ids": none, "places": none, "sizes": none, "blob": none})
             by: dict[int, list] = {}
             for ctx, (i, places, key) in best.items():
                 by.setdefault(int(mix(np.array([key], U))[0] % U(groups)) if groups > 1 else 0, []).extend((i, p, ctx) for p in places)
@@ -125,7 +135,7 @@ def _second(shared, groups: int):
                 i, p, ctx = zip(*x, strict=True)
                 one = pa.nulls(1, pa.binary())
                 yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([b], pa.int32()), "id": pa.nulls(1, pa.int64()), "at": one, "ids": pa.array([np.array(i, np.int64).tobytes()], pa.binary()),
+                    "bucket": pa.array([b], pa.int32()), "part": pa.nulls(1, pa.int32()), "marks": one, "ids": pa.array([np.array(i, np.int64).tobytes()], pa.binary()),
                     "places": pa.array([np.array(p, np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array([len(c) for c in ctx], np.uint8).tobytes()], pa.binary()), "blob": pa.array([b"".join(ctx)], pa.binary()),
                 })
 
@@ -161,16 +171,15 @@ class Family:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []  # (batches, sorted distinct strings, smallest id)
 
     @staticmethod
-    def _least(strings: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The order of strings then ids; of each string its first place in that order and its number by place."""
-        order = np.argsort(ids, kind="stable")
-        order = order[np.argsort(strings[order], kind="stable")]
+    def _least(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Strings that come by rising id: their order, themselves in it, each one's first place there and its number by place. Sorted stretches are merged."""
+        order = np.argsort(strings, kind="stable")
         s = strings[order]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
         return order, s, np.flatnonzero(new), np.cumsum(new) - 1
 
     def add(self, strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        order, s, first, number = self._least(strings, ids)
+        order, s, first, number = self._least(strings)
         own, least = s[first], ids[order][first]
         known = least.copy()
         for _, level, level_ids in self.levels:
@@ -184,13 +193,13 @@ class Family:
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a, x), (m, b, y) = self.levels.pop(), self.levels.pop()
             s, i = np.concatenate([b, a]), np.concatenate([y, x])
-            order, s, first, _ = self._least(s, i)
+            order, s, first, _ = self._least(s)
             self.levels.append((n + m, s[first], i[order][first]))
         return out
 
 
-def _group(key, t):
-    passed = t.filter(t["id"].is_valid()).select(["id", "at"])
+def _group(parts: int, key, t):
+    passed = t.filter(t["part"].is_valid()).select(["part", "marks"])
     t = t.filter(t["ids"].is_valid())
     if not t.num_rows:
         return passed
@@ -209,14 +218,14 @@ def _group(key, t):
         hit = family.add(chars.view(f"S{WINDOW + 1}").ravel(), ids[e][which])
         found.append((ids[e][which][hit], (place[e][which] + step)[hit]))
     i, p = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.concat_tables([passed, pa.table(_mark_rows(i, p, p + 1))])
+    return pa.concat_tables([passed, _mark_rows(i, p, p + 1, parts)])
 
 
-def _digest(text: str | None, marks: list | None) -> tuple[int, int, int, bytes]:
+def _digest(text: str | None, marks: bytes | None) -> tuple[int, int, int, bytes]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     if not marks:
         return len(raw), 0, 0, raw
-    m = np.concatenate([np.frombuffer(x, np.int64) for x in marks]).reshape(-1, 2)
+    m = np.frombuffer(marks, np.int64).reshape(-1, 2)
     m = m[m[:, 0] <= len(raw) - WINDOW]
     gone = spans(m[:, 0], np.minimum(m[:, 1] + WINDOW - 1, len(raw)))
     parts, at = [], 0
@@ -248,10 +257,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rep = Repeated(rows, _keys)
     groups = max(1, -(-rep.n // GROUP))
     shared = spark.sparkContext.broadcast(rep)
-    found = rows.mapInArrow(_second(shared, groups), "bucket int, id long, at binary, ids binary, places binary, sizes binary, blob binary").repartition(groups, "bucket")
-    marks = stow.put(found.groupBy("bucket").applyInArrow(_group, "id long, at binary"), "marks")
+    parts = max(1, -(-groups // 4))
+    found = rows.mapInArrow(_second(shared, groups, parts), "bucket int, part int, marks binary, ids binary, places binary, sizes binary, blob binary").repartition(groups, "bucket")
+    marked_parts = found.groupBy("bucket").applyInArrow(lambda key, t: _group(parts, key, t), "part int, marks binary")
+    marks = stow.put(marked_parts.groupBy("part").applyInArrow(_by_id, "id long, at binary"), "marks")
     shared.unpersist()
-    del found
+    del found, marked_parts
     free_shuffles(spark)
     flagged = spark.sparkContext.broadcast(id_bitmap(marks))
 
@@ -276,7 +287,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 part = batch.slice(lo, 256)
                 yield _rows(part["id"], [_digest(t, a) for t, a in zip(part["text"].to_pylist(), part["at"].to_pylist(), strict=True)])
 
-    by_id = marks.groupBy(F.col("id").alias("key")).agg(F.collect_list("at").alias("at"))  # spans of one id, bounded by its text
+    by_id = marks.withColumnRenamed("id", "key")
     joined = rows.mapInArrow(marked, "id long, text string").withColumn("key", F.coalesce("id", F.lit(2**63 - 1))).join(by_id, "key", "left").select("id", "text", "at")
     return rows.mapInArrow(whole, SCHEMA).unionByName(joined.mapInArrow(remove, SCHEMA))
 
