@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
-import pytest
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm import suffix_family as S
 
@@ -38,18 +40,33 @@ def made():
     return rows
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_brute(spark, monkeypatch, small):
-    if small:  # several batches, levels, pieces and flushes
-        code = dict(RUN=5, PIECE=300, HELD=50, BATCH=16, GROUP=64)
-        for k, v in code.items():
-            monkeypatch.setattr(S, k, v)
+def test_brute(spark):
     rows = made()
     df = spark.createDataFrame([(i, t, 1, "y") for i, t in rows], "doc_id long, text string, id int, at string").repartition(3)
     got = [(r.id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in S.dedup(df).collect()]
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_small_limits_in_process(monkeypatch):
+    """Several pieces, flushes, batches and levels, which workers of a session wouldn't see changed."""
+    for k, v in dict(RUN=5, PIECE=300, HELD=50, BATCH=16).items():
+        monkeypatch.setattr(S, k, v)
+    rows, groups, parts = made(), 3, 2
+    every = SimpleNamespace(value=SimpleNamespace(hold=lambda h: np.ones(len(h), bool)))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.int64()), pa.array([r[1] for r in x], pa.string())], names=["id", "text"]) for x in (rows[:40], rows[40:90], rows[90:])]
+    sent = pa.Table.from_batches([o for task in (batches[:1], batches[1:]) for o in S._second(every, groups, parts)(iter(task))])
+    found = pa.concat_tables([S._group(parts, None, sent.filter(pc.equal(sent["bucket"], k))) for k in range(groups)])
+    spans = {}
+    for k in range(parts):
+        t = S._by_id(None, found.filter(pc.equal(found["part"], k))).to_pylist()
+        spans |= {r["id"]: r["at"] for r in t}
+    got = []
+    for i, t in rows:
+        n, removed, count, kept = S._digest(t, spans.get(2**63 - 1 if i is None else i))
+        got.append((i, n, removed, count, hashlib.sha256(kept).hexdigest()))
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_family_keeps_logarithmic_levels():
     rng, family, seen = np.random.default_rng(1), S.Family(), {}
     for batch in range(13):
