@@ -29,10 +29,12 @@ from .lsh_forest import _bits, id_bitmap
 from .words import U, batches, mix, windows
 
 N, DEPTH, CELL_BITS, SEGMENT = 20, 2, 28, 16
-#: Windows that a task combines at once.
-RUN = 1 << 22
+#: Windows that a task combines at once: hashes alone, and with their places.
+RUN, HELD = 1 << 22, 1 << 19
 #: Windows estimated repeated in a group of exact counting, about.
 GROUP = 1 << 20
+#: Marked places in one packed row.
+PACK = 1 << 18
 LAST = np.int64(2**63 - 1)
 
 
@@ -125,16 +127,33 @@ def _firsts(h: np.ndarray, more: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     return order, (doc == doc[lead]) & (at == at[lead])
 
 
-def _marks(doc: np.ndarray, at: np.ndarray, group: int | np.ndarray) -> dict:
-    """Rows of marked places, by document."""
+def _packs(doc: np.ndarray, at: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """Marked places as (part of the ids, packed ids and places), of at most PACK places each, in the order given."""
+    part = (mix(doc.view(U)) % U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    doc, at, part = doc[order], at[order].astype(np.uint32), part[order]
+    cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+    spans = [(x, min(y, x + PACK)) for lo, y in zip(cut, cut[1:], strict=False) for x in range(lo, y, PACK)]
+    return [int(part[x]) for x, _ in spans], [np.diff(doc[x:y], prepend=np.int64(0)).tobytes() + at[x:y].tobytes() for x, y in spans]
+
+
+def _by_id(key, t):
+    """The marks of a part of the ids as one row per id: (first, last) of each run of consecutive places."""
+    packs = [x.as_buffer() for x in t["packed"]]
+    doc = np.concatenate([np.frombuffer(x, np.int64, x.size // 12).cumsum() for x in packs])
+    at = np.concatenate([np.frombuffer(x, np.uint32, x.size // 12, 8 * (x.size // 12)) for x in packs])
     order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order].astype(np.uint32)
-    cut = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1]) if len(doc) else np.zeros(0, np.int64)
-    ends = [*cut[1:], len(doc)]
-    return {"id": pa.array(doc[cut], pa.int64()), "at": pa.array([at[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())}
+    doc, at = doc[order], at[order]
+    other = doc[1:] != doc[:-1]
+    cut = np.flatnonzero(other | (at[1:] > at[:-1] + np.uint32(1))) + 1
+    lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]])
+    runs = np.stack([at[lo], at[hi - 1]], 1)
+    of = doc[lo]
+    ends = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+    return pa.table({"id": pa.array(of[ends[:-1]], pa.int64()), "runs": pa.array([runs[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())})
 
 
-def _second(shared, groups: int):
+def _second(shared, groups: int, parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep, kept = shared.value, []
 
@@ -142,12 +161,9 @@ def _second(shared, groups: int):
             h, more, doc, at = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
             kept.clear()
             order, first = _firsts(h, more, doc, at)
-            later = order[~first]
-            m = _marks(doc[later], at[later], 0)
-            own = (mix(m["id"].to_numpy().view(U)) % U(groups)).astype(np.int32)
-            none = pa.nulls(len(own), pa.binary())
-            for lo in range(0, len(own), 4096):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(own).slice(lo, 4096), "id": m["id"].slice(lo, 4096), "at": m["at"].slice(lo, 4096), "packed": none.slice(lo, 4096)})
+            later = np.sort(order[~first])
+            for part, packed in zip(*_packs(doc[later], at[later], parts), strict=True):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([part % groups], pa.int32()), "part": pa.array([part], pa.int32()), "packed": pa.array([packed], pa.binary())})
             lead = order[first]
             lead.sort()
             to = (mix(h[lead] + U(99)) % U(groups)).astype(np.int32)
@@ -157,47 +173,46 @@ def _second(shared, groups: int):
             for k, (x, y) in enumerate(zip(cut, ends, strict=False)):
                 i = lead[x:y]
                 packed = h[i].tobytes() + more[i].astype(np.uint32).tobytes() + np.diff(doc[i], prepend=np.int64(0)).tobytes() + at[i].astype(np.uint32).tobytes()
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b[k]], pa.int32()), "id": pa.nulls(1, pa.int64()), "at": pa.nulls(1, pa.binary()), "packed": pa.array([packed], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b[k]], pa.int32()), "part": pa.nulls(1, pa.int32()), "packed": pa.array([packed], pa.binary())})
 
         for batch in it:
             for h, more, doc, at in _windows(batch):
                 ok = rep.hold(h)
                 kept.append((h[ok], more[ok], doc[ok], at[ok]))
-                if sum(len(x[0]) for x in kept) > RUN:
+                if sum(len(x[0]) for x in kept) > HELD:
                     yield from out()
         yield from out()
 
     return run
 
 
-def _group(key, t):
-    """Marks of a bucket: those passed on, and all but the first place of each window."""
+def _group(parts: int, key, t):
+    """Marks of a bucket, packed: those passed on, and all but the first place of each window."""
     cols: list[tuple] = []
-    for x in t["packed"].drop_null():
+    for x in t.filter(t["part"].is_null())["packed"]:
         x = x.as_buffer()
         n = x.size // 24
-        parts = (np.frombuffer(x, U, n), np.frombuffer(x, np.uint32, n, 8 * n), np.frombuffer(x, np.int64, n, 12 * n).cumsum(), np.frombuffer(x, np.uint32, n, 20 * n))
-        cols.append(parts)
-    passed = t.filter(t["id"].is_valid()).select(["id", "at"])
+        cols.append((np.frombuffer(x, U, n), np.frombuffer(x, np.uint32, n, 8 * n), np.frombuffer(x, np.int64, n, 12 * n).cumsum(), np.frombuffer(x, np.uint32, n, 20 * n)))
+    passed = t.filter(t["part"].is_valid()).select(["part", "packed"])
     if not cols:
         return passed
     h, more, doc, at = (np.concatenate(x) for x in zip(*cols, strict=True))
     order, first = _firsts(h, more, doc, at)
-    later = order[~first]
-    return pa.concat_tables([passed, pa.table(_marks(doc[later], at[later], 0))])
+    later = np.sort(order[~first])
+    part, packed = _packs(doc[later], at[later], parts)
+    return pa.concat_tables([passed, pa.table({"part": pa.array(part, pa.int32()), "packed": pa.array(packed, pa.binary())})])
 
 
-def _digest(raw: bytes, marks: np.ndarray | None) -> tuple[int, int, bytes]:
+def _digest(raw: bytes, runs: bytes | None) -> tuple[int, int, bytes]:
     words = raw.split()
-    if marks is not None and len(marks):
-        marks = marks[marks + N <= len(words)]
+    kept = words
+    if runs and len(words) >= N:
+        marks = np.frombuffer(runs, np.uint32).reshape(-1, 2).astype(np.int64)
+        marks = marks[marks[:, 0] + N <= len(words)]  # an id can have texts of several lengths
         gone = np.zeros(len(words) + 1, np.int64)
-        np.add.at(gone, marks, 1)
-        np.subtract.at(gone, marks + N, 1)
-        gone = np.cumsum(gone[:-1]) > 0
-        kept = list(compress(words, ~gone))
-    else:
-        kept = words
+        np.add.at(gone, marks[:, 0], 1)
+        np.subtract.at(gone, np.minimum(marks[:, 1] + N, len(words)), 1)
+        kept = list(compress(words, np.cumsum(gone[:-1]) <= 0))
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
@@ -218,12 +233,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rep = Repeated(rows)
     groups = max(1, -(-rep.n // GROUP))
     shared = spark.sparkContext.broadcast(rep)
-    found = rows.mapInArrow(_second(shared, groups), "bucket int, id long, at binary, packed binary").repartition(max(groups, 1), "bucket")
-    marks = stow.put(found.groupBy("bucket").applyInArrow(_group, "id long, at binary"), "marks")
+    # a part of the ids gets a pack from each bucket, not each id one: rows don't grow with ids times buckets
+    found = rows.mapInArrow(_second(shared, groups, groups), "bucket int, part int, packed binary").repartition(groups, "bucket")
+    packs = found.groupBy("bucket").applyInArrow(partial(_group, groups), "part int, packed binary")
+    by_id = stow.put(packs.repartition(groups, "part").groupBy("part").applyInArrow(_by_id, "id long, runs binary"), "marks")
     shared.unpersist()
-    del found
+    del found, packs
     free_shuffles(spark)
-    flagged = spark.sparkContext.broadcast(id_bitmap(marks))
+    flagged = spark.sparkContext.broadcast(id_bitmap(by_id))
 
     def touched(part: pa.RecordBatch) -> np.ndarray:
         at = _bits(_ids(part.column(0)))
@@ -240,16 +257,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in it:
             yield batch.filter(pa.array(touched(batch)))
 
-    by_id = marks.groupBy("id").agg(F.collect_list("at").alias("at"))  # at most a mark per word of the id's text
-
     def remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield _rows(part["id"], [_digest((t or "").encode("utf-8", "surrogatepass"), None if a is None else np.concatenate([np.frombuffer(x, np.uint32) for x in a]).astype(np.int64)) for t, a in zip(part["text"].to_pylist(), part["at"].to_pylist(), strict=True)])
+                yield _rows(part["id"], [_digest((t or "").encode("utf-8", "surrogatepass"), a) for t, a in zip(part["text"].to_pylist(), part["runs"].to_pylist(), strict=True)])
 
     schema = "id long, n_words long, n_removed long, kept binary"
-    joined = rows.mapInArrow(marked, "id long, text string").withColumn("key", F.coalesce("id", F.lit(int(LAST)))).join(by_id.withColumnRenamed("id", "key"), "key", "left").select("id", "text", "at")
+    # by_id grows with the corpus; broadcast, it would also put two Python workers into each task of this stage
+    joined = rows.mapInArrow(marked, "id long, text string").withColumn("key", F.coalesce("id", F.lit(int(LAST)))).join(by_id.withColumnRenamed("id", "key").hint("merge"), "key", "left").select("id", "text", "runs")
     return rows.mapInArrow(whole, schema).unionByName(joined.mapInArrow(remove, schema))
 
 
