@@ -13,6 +13,10 @@ Candidates are confirmed on the full sets, first one candidate for each class (i
 rounds, what still joins different components. Links inside a component don't change it, so no component is
 lost by not confirming those.
 
+In regions of more than SMALL classes those are not all pairs. Where such a region is left with several components,
+every member outside its largest one is compared with all the others by signature, and what may be similar enough
+is confirmed, best first and more in each round, until nothing is left that could join two components.
+
 Scale: texts are read twice and never shuffled as a whole; sets are shuffled only for classes with candidates,
 found with a fixed-size bitmap of ids. Groups of copies are collapsed by aggregation before anything is joined.
 """
@@ -34,6 +38,10 @@ from .words import U, batches, mix, windows
 TREES, DEPTH, BASE, SMALL, WIDE, SHINGLE, PERCENT = 16, 8, 4, 8, 512, 5, 85
 #: Bits of the bitmap of ids with candidates (4 MB whatever the input).
 BITS = 25
+#: Rows of a side of a block in which signatures are compared; partners that a member gives in the first round.
+BLOCK, OFFERS = 1024, 4
+#: Signatures that agree this much less often than PERCENT says (5 standard deviations of TREES * DEPTH minima) aren't confirmed.
+SLACK = 5
 _MULT = mix(np.arange(TREES * DEPTH, dtype=U) + U(77)) | U(1)
 _ADD = mix(np.arange(TREES * DEPTH, dtype=U) + U(7777))
 
@@ -78,6 +86,16 @@ def _trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"tree": pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), "label": pa.array(labels, pa.binary()), "id": batch["id"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES))), "n": batch["n"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))})
 
 
+def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each class and tree its region's label and a byte of each minimum."""
+    for batch in it:
+        sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(batch.num_rows, TREES, DEPTH, 4)
+        low = [x.tobytes() for x in sig[..., 3].reshape(batch.num_rows, -1)]
+        for t in range(TREES):
+            prefix = [x.tobytes() for x in sig[:, t, :BASE]]
+            yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(batch.num_rows, t, np.int32)), "prefix": pa.array(prefix, pa.binary()), "id": batch["id"], "n": batch["n"], "low": pa.array(low, pa.binary())})
+
+
 def region_pairs(labels: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of candidate pairs of one region: rows sorted by label, sharing the first BASE hashes."""
     a, b = [], []
@@ -146,6 +164,53 @@ def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([out(*kept[1:])])
 
 
+def _compare(most: int):
+    """For a block's members outside their region's largest component: the `most` best partners in other components."""
+    p = PERCENT / 100
+    least = TREES * DEPTH * p - SLACK * (TREES * DEPTH * p * (1 - p)) ** 0.5
+
+    def run(t: pa.Table) -> pa.Table:
+        side, ids, n, c = (t[x].to_numpy() for x in ("side", "id", "n", "c"))
+        sig = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b, more = [], [], []
+        if len(left) and len(right):
+            theirs = np.ascontiguousarray(sig[right].T)
+            for i in left:
+                agree = np.zeros(len(right), np.uint8)
+                for row, x in zip(theirs, sig[i], strict=True):
+                    agree += row == x
+                ok = (agree >= least) & (c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+                at = np.flatnonzero(ok)
+                best = at[np.argsort(-agree[at].astype(np.int64), kind="stable")[:most]]
+                a += [ids[i]] * len(best)
+                b += ids[right[best]].tolist()
+                more += [len(at) > most] * len(best)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array(more, pa.bool_())})
+
+    return run
+
+
+def _rest(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(a, b, more): pairs of members (tree, prefix, id, n, low) of one region and of different components that may be similar enough.
+
+    A member outside its region's largest component gives its `most` best partners of each block; more: it has others.
+    """
+    region = ["tree", "prefix"]
+    named = members.join(labels.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    sizes = named.groupBy(*region, "c").agg(F.count("*").alias("k")).groupBy(*region).agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top")).where("top.k < m")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.select(*region, F.col("top.c").alias("main"), blocks(F.col("m") - F.col("top.k")).alias("lefts"), blocks(F.col("m")).alias("rights"))
+    dealt = named.join(sizes, region)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), n).cast("int")
+    cols = [*region, "id", "n", "low", "c"]
+    left = dealt.where("c <> main").select(*cols, F.lit(0).alias("side"), mine("lefts").alias("i"), each("rights").alias("j"))
+    right = dealt.select(*cols, F.lit(1).alias("side"), each("lefts").alias("i"), mine("rights").alias("j"))
+    return left.unionByName(right).groupBy(*region, "i", "j").applyInArrow(_compare(most), "a long, b long, more boolean").where("a <> b").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U)) >> U(64 - BITS)).astype(np.int64)
 
@@ -228,9 +293,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix = F.substring("label", 1, 4 * BASE).alias("prefix")
     wide = trees.groupBy("tree", prefix).agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n")).where(F.col("m") > WIDE)
     led = trees.select("tree", prefix, "id", "n").join(wide, ["tree", "prefix"]).where(f"id <> lead and 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    # the regions in which not all pairs are candidates
+    large = stow.put(trees.groupBy("tree", prefix).agg(F.count("*").alias("m")).where(F.col("m") > SMALL).select("tree", "prefix"), "large")
+    inside = stow.put(trees.select("tree", prefix, "id").join(large, ["tree", "prefix"]).select("id").distinct(), "inside")
+    members = classes.select("id", "n", "sig").join(inside, "id", "left_semi").mapInArrow(_members, "tree int, prefix binary, id long, n long, low binary")
+    members = stow.put(members.join(large, ["tree", "prefix"]), "members")
     # one id can stand for several texts: classes of one id are one vertex
     pairs = stow.put(near.unionByName(led).where("a <> b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(inside)
     least = rows.where("id is not null").select("id", "text")
     sets = stow.put(_sets_of(least, id_bitmap(ends)).join(ends.distinct(), "id", "left_semi"), "sets")
     free_shuffles(spark)
@@ -251,6 +321,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         todo = stow.put(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"todo{k}")
         links = stow.put(links.unionByName(confirm(tried, sets)), f"links{k}")
+    done, most, more = pairs, OFFERS, not large.isEmpty()
+    while more:
+        found = stow.put(_rest(members, labels, most), f"found{most}")
+        more = not found.where("more").isEmpty()
+        fresh = stow.put(found.select("a", "b").join(done, ["a", "b"], "left_anti"), f"fresh{most}")
+        if not fresh.isEmpty():
+            links = stow.put(links.unionByName(confirm(fresh, sets)), f"rest{most}")
+            done = stow.put(done.select("a", "b").unionByName(fresh), f"done{most}")
+            labels = components(links, stow) if more else labels
+        free_shuffles(spark)
+        most *= 4
     labels = components(links.unionByName(copies), stow)
     free_shuffles(spark)
     return sketches.select("id", F.col("n").alias("n_shingles")).join(labels, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
