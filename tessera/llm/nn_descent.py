@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, queries search it greedily.
 
 The graph starts from random groups. Each round joins every node's near and reverse neighbours: a node introduces
-its neighbours to each other, pairs that beat a neighbour's DEGREE-th best so far replace it. A query starts at its own
+its neighbours to each other, pairs that beat a neighbour's DEGREE-th best so far replace it, until the share of pairs that are new is below SETTLED. A query starts at its own
 node and, hop by hop, joins the best WIDTH nodes of its pool that it hasn't opened yet with their neighbours, keeping the POOL
-best; the best FINAL of the pool are then scored on the original vectors. Both phases work on unit
+best, until a query has no node left to open; the best FINAL of the pool are then scored on the original vectors. Both phases work on unit
 vectors in half precision. Equal vectors are one node, so that a vector that a third of all rows share is no hub.
 
 Scale: every step is a join or a grouping by node or query whose groups are bounded (top-k windows cut groups before
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import Stow, free_shuffles, table
 from .pivot_topk import usable
 
-DEGREE, SAMPLE, GROUP, STARTS, ROUNDS, OFFERS = 32, 16, 96, 3, 3, 6
-POOL, WIDTH, HOPS, FINAL = 320, 32, 8, 48
+DEGREE, SAMPLE, GROUP, STARTS, OFFERS = 32, 16, 96, 3, 6
+POOL, WIDTH, FINAL = 320, 32, 48
+#: The graph is built until a round changes less than this share of its pairs.
+SETTLED = 0.01
 
 
 def _top(df: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
@@ -87,25 +89,29 @@ def _introduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _graph(pairs: DataFrame) -> DataFrame:
-    """(v, u, s, r): the DEGREE best of each v, ranked; ties in an order that differs from node to node."""
-    best = pairs.groupBy("v", "u").agg(F.max("s").alias("s"))
+    """(v, u, s, new, r): the DEGREE best of each v, ranked; ties in an order that differs from node to node."""
+    best = pairs.groupBy("v", "u").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     return best.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("s"), F.xxhash64("v", "u"), "u"))).where(F.col("r") <= DEGREE)
 
 
-def build(nodes: DataFrame, stow: Stow, rounds: int = ROUNDS) -> DataFrame:
-    """The graph (v, u, s, r) of nodes (id, dim, u)."""
+def build(nodes: DataFrame, stow: Stow, rounds: int | None = None) -> DataFrame:
+    """The graph (v, u, s, new, r) of nodes (id, dim, u); rounds: at most so many, None as many as it takes to settle."""
     groups = nodes.groupBy("dim").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("g"))
     dealt = nodes.join(F.broadcast(groups), "dim").withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(STARTS)])))
     dealt = dealt.select("id", "u", "dim", "t", F.pmod(F.xxhash64("id", "t"), "g").alias("k"))
-    g = stow.put(_graph(dealt.groupBy("dim", "t", "k").applyInArrow(_start, "v long, u long, s float")), "graph0")
-    for k in range(1, rounds + 1):
+    g = stow.put(_graph(dealt.groupBy("dim", "t", "k").applyInArrow(_start, "v long, u long, s float").withColumn("new", F.lit(True))), "graph0")
+    # scores only rise, so the rounds come to an end
+    k, changed = 0, 1.0
+    while changed >= SETTLED and (rounds is None or k < rounds):
+        k += 1
         back = _top(g.select(F.col("u").alias("v"), F.col("v").alias("u"), "s"), "v", SAMPLE, F.desc("s"), F.xxhash64("v", "u"), F.col("u"))
         near = g.where(F.col("r") <= SAMPLE).select("v", "u").unionByName(back.select("v", "u")).distinct()
         least = g.groupBy("v").agg(F.when(F.count("*") >= DEGREE, F.min("s")).otherwise(F.lit(-9.0)).cast("float").alias("least"))
         known = nodes.select("id", F.col("u").alias("x")).join(least.withColumnRenamed("v", "id"), "id")
         lists = near.withColumnRenamed("u", "id").join(known, "id").groupBy("v").agg(F.collect_list(F.struct("id", "least", F.col("x").alias("u"))).alias("m"))
         offers = lists.select("m").mapInArrow(_introduce, "v long, u long, s float")
-        g = stow.put(_graph(g.select("v", "u", "s").unionByName(offers)), f"graph{k}")
+        g = stow.put(_graph(g.select("v", "u", "s").withColumn("new", F.lit(False)).unionByName(offers.withColumn("new", F.lit(True)))), f"graph{k}")
+        changed = g.agg(F.avg(F.col("new").cast("int"))).first()[0] or 0.0
         stow.drop(f"graph{k - 1}")
         free_shuffles(nodes.sparkSession)
     return g
@@ -130,12 +136,13 @@ def _step(key, state, found):
     return pa.table({"q": pa.array([q], pa.int64()), "u": pa.array([row["u"]], pa.binary()), "ids": pa.array([have.tolist()], pa.list_(pa.int64())), "scores": pa.array([scores.tolist()], pa.list_(pa.float32())), "done": pa.array([done.tolist()], pa.list_(pa.bool_())), "open": pa.array([nxt.tolist()], pa.list_(pa.int64()))})
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int = ROUNDS, hops: int = HOPS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "vec_id", vec_col: str = "embedding", rounds: int | None = None, hops: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row, its k nearest other rows found, by cosine of the original vectors.
 
     Ties go to the smaller id. Null ids and vectors that are null, empty, zero or hold null or non-finite components take no
     part. Vectors of different lengths aren't compared. Rows with equal vectors are found together. A row isn't compared
-    with rows of its own id. Fewer than k candidates: all that are found. Other columns are ignored.
+    with rows of its own id. Fewer than k candidates: all that are found. Other columns are ignored. rounds, hops: at
+    most so many; None: until the graph settles, until no query has a node left to open.
     """
     spark = vectors.sparkSession
     stow = Stow(spark)
@@ -154,10 +161,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "v
     state = nodes.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("q"), "u", none("long").alias("ids"), none("float").alias("scores"), none("boolean").alias("done"), F.array("id").alias("open"))
     state = stow.put(state, "state")
     at = nodes.select(F.col("id").alias("w"), F.col("u").alias("x"))
-    for h in range(hops):
+    h = 0
+    while (hops is None or h < hops) and not state.where(F.size("open") > 0).isEmpty():
         seen = state.select("q", F.explode("open").alias("v")).join(links, "v").select("q", F.explode("links").alias("w")).distinct()
         seen = seen.join(state.select("q", F.explode("ids").alias("w")), ["q", "w"], "left_anti")
         state = stow.put(state.groupBy("q").cogroup(seen.join(at, "w").select(F.col("q").alias("q_"), "w", "x").groupBy("q_")).applyInArrow(_step, schema), f"state{h}")
+        h += 1
         free_shuffles(spark)
 
     pool = state.select("q", F.posexplode("ids").alias("pos", "w")).where(F.col("pos") < FINAL).select("q", "w").unionByName(state.select("q", F.col("q").alias("w")))
