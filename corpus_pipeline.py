@@ -14,6 +14,8 @@ from tessera.llm.common import Stow
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if at least this share of its grams belongs to the language predicted.
 LEAST_SCORE = 0.3
+#: Documents are near copies from this similarity of their sets of five words.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group, once if its row is repeated; null ids stay."""
-    gone = lsh_forest.near_duplicates(docs).where("not kept").select(F.col("id").alias("doc_id")).distinct()
+    gone = lsh_forest.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("id").alias("doc_id")).distinct()
     named = docs.select(*COLUMNS).where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 

@@ -2,7 +2,7 @@
 
 A document's set is its distinct 5-word shingles. Documents with one set form a class, represented by its
 smallest id; a class's signature of TREES * DEPTH minima gives TREES labels of DEPTH hashes. Each tree is the
-classes sorted by label: classes that share the first BASE hashes form a region, and inside a region the
+classes sorted by label: classes that share the first BASE hashes (fewer for a lower similarity) form a region, and inside a region the
 depth adapts: a region of at most SMALL classes gives all its pairs, a larger one is split by its next hash as
 long as it has one, keeping a pair with its first class for each member, and what can't be split any more gives
 each class's neighbours in the order. Regions larger than WIDE, which the sort may spread over tasks, get the pairs with
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,20 @@ TREES, DEPTH, BASE, SMALL, WIDE, SHINGLE, PERCENT = 16, 8, 4, 8, 512, 5, 85
 BITS = 25
 #: Rows of a side of a block in which signatures are compared; partners that a member gives in the first round.
 BLOCK, OFFERS = 1024, 4
-#: Signatures that agree this much less often than PERCENT says (5 standard deviations of TREES * DEPTH minima) aren't confirmed.
+#: Signatures that agree this much less often than the percent asked for says (5 standard deviations of TREES * DEPTH minima) aren't confirmed.
 SLACK = 5
+#: A pair at the least similarity shares no region with at most this probability.
+MISS = 2e-5
 _MULT = mix(np.arange(TREES * DEPTH, dtype=U) + U(77)) | U(1)
 _ADD = mix(np.arange(TREES * DEPTH, dtype=U) + U(7777))
 
 
+def region_depth(percent: int) -> int:
+    """The number of hashes that make a region: the most that keep a pair at percent within MISS, 4 at 85 and 3 at 80."""
+    s = percent / 100
+    return max(d for d in range(1, BASE + 1) if d == 1 or (1 - s**d) ** TREES <= MISS)
+
+
 def shingle_sets(texts: list, n: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; words lower-cased in A-Z; a shorter text is one shingle."""
     for _, _, w in batches(texts, 1, True):
@@ -86,18 +95,18 @@ def _trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"tree": pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), "label": pa.array(labels, pa.binary()), "id": batch["id"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES))), "n": batch["n"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))})
 
 
-def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(base: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each class and tree its region's label and a byte of each minimum."""
     for batch in it:
         sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(batch.num_rows, TREES, DEPTH, 4)
         low = [x.tobytes() for x in sig[..., 3].reshape(batch.num_rows, -1)]
         for t in range(TREES):
-            prefix = [x.tobytes() for x in sig[:, t, :BASE]]
+            prefix = [x.tobytes() for x in sig[:, t, :base]]
             yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(batch.num_rows, t, np.int32)), "prefix": pa.array(prefix, pa.binary()), "id": batch["id"], "n": batch["n"], "low": pa.array(low, pa.binary())})
 
 
-def region_pairs(labels: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of candidate pairs of one region: rows sorted by label, sharing the first BASE hashes."""
+def region_pairs(labels: np.ndarray, ids: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Places of candidate pairs of one region: rows sorted by label, sharing the first base hashes."""
     a, b = [], []
 
     def visit(lo: int, hi: int, d: int) -> None:
@@ -110,7 +119,7 @@ def region_pairs(labels: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
         lead = lo + int(np.argmin(ids[lo:hi]))
         rest = np.delete(np.arange(lo, hi), lead - lo)
         cuts = [lo, *(lo + 1 + np.flatnonzero(labels[lo + 1 : hi, d] != labels[lo : hi - 1, d])), hi] if d < DEPTH else [lo, hi]
-        if d in (BASE, DEPTH):
+        if d in (base, DEPTH):
             a.append(np.full(m - 1, lead))
             b.append(rest)
         if d == DEPTH:
@@ -127,18 +136,18 @@ def region_pairs(labels: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
                     visit(x, y, d + 1)
 
     if len(ids) > 1:
-        visit(0, len(ids), BASE)
+        visit(0, len(ids), base)
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(percent: int, base: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = None
 
     def out(lab, ids, n):
-        a, b = region_pairs(lab, ids)
+        a, b = region_pairs(lab, ids, base)
         x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        ok = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
+        ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
         return np.unique(np.stack([x[ok], y[ok]], 1), axis=0)
 
     def emit(found):
@@ -152,7 +161,7 @@ def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = batch["tree"].to_numpy(), lab, batch["id"].to_numpy(), batch["n"].to_numpy()
         rows = rows if kept is None else tuple(np.concatenate(x) for x in zip(kept, rows, strict=True))
         tree, lab, ids, n = rows
-        new = np.flatnonzero((tree[1:] != tree[:-1]) | (lab[1:, :BASE] != lab[:-1, :BASE]).any(1)) + 1
+        new = np.flatnonzero((tree[1:] != tree[:-1]) | (lab[1:, :base] != lab[:-1, :base]).any(1)) + 1
         edges = np.concatenate([[0], new, [len(ids)]])
         last = edges[-2] if len(ids) - edges[-2] <= 8 * WIDE else len(ids) - 1
         found = [out(lab[x:y], ids[x:y], n[x:y]) for x, y in zip(edges[:-2], edges[1:-1], strict=True) if y - x > 1]
@@ -164,9 +173,9 @@ def _neighbours(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([out(*kept[1:])])
 
 
-def _compare(most: int):
+def _compare(most: int, percent: int):
     """For a block's members outside their region's largest component: the `most` best partners in other components."""
-    p = PERCENT / 100
+    p = percent / 100
     least = TREES * DEPTH * p - SLACK * (TREES * DEPTH * p * (1 - p)) ** 0.5
 
     def run(t: pa.Table) -> pa.Table:
@@ -180,7 +189,7 @@ def _compare(most: int):
                 agree = np.zeros(len(right), np.uint8)
                 for row, x in zip(theirs, sig[i], strict=True):
                     agree += row == x
-                ok = (agree >= least) & (c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+                ok = (agree >= least) & (c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
                 at = np.flatnonzero(ok)
                 best = at[np.argsort(-agree[at].astype(np.int64), kind="stable")[:most]]
                 a += [ids[i]] * len(best)
@@ -192,7 +201,7 @@ def _compare(most: int):
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
     """(a, b, more): pairs of members (tree, prefix, id, n, low) of one region and of different components that may be similar enough.
 
     A member outside its region's largest component gives its `most` best partners of each block; more: it has others.
@@ -208,7 +217,7 @@ def _rest(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     cols = [*region, "id", "n", "low", "c"]
     left = dealt.where("c <> main").select(*cols, F.lit(0).alias("side"), mine("lefts").alias("i"), each("rights").alias("j"))
     right = dealt.select(*cols, F.lit(1).alias("side"), each("lefts").alias("i"), mine("rights").alias("j"))
-    return left.unionByName(right).groupBy(*region, "i", "j").applyInArrow(_compare(most), "a long, b long, more boolean").where("a <> b").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return left.unionByName(right).groupBy(*region, "i", "j").applyInArrow(_compare(most, percent), "a long, b long, more boolean").where("a <> b").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -257,7 +266,7 @@ def _sets_of(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "id long, set binary")
 
 
-def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         keep = []
         for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
@@ -265,38 +274,38 @@ def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.concatenate([x, y])
             both.sort()
             common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep.append(100 * common >= percent * (len(x) + len(y) - common))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(partial(_linked, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of docs; ids are longs.
 
-    Links join sets with 100 * intersection >= PERCENT * union. A text without words (null, empty or blank) has an
+    Links join sets with 100 * intersection >= percent * union. A text without words (null, empty or blank) has an
     empty set and no link. Rows with one id are one vertex; with different texts they carry each text's links. A
     null id takes no part: component null, kept true. Repeated rows give repeated results. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, base = docs.sparkSession, region_depth(percent)
     stow = Stow(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stow.put(rows.mapInArrow(_sketch, "id long, n long, print binary, sig binary"), "sketches")
     named = sketches.where("id is not null and n > 0")
     classes = stow.put(named.groupBy("print", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     trees = stow.put(classes.select("id", "n", "sig").mapInArrow(_trees, "tree int, label binary, id long, n long"), "trees")
-    near = trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(_neighbours, "a long, b long")
-    prefix = F.substring("label", 1, 4 * BASE).alias("prefix")
+    near = trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(partial(_neighbours, percent, base), "a long, b long")
+    prefix = F.substring("label", 1, 4 * base).alias("prefix")
     wide = trees.groupBy("tree", prefix).agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n")).where(F.col("m") > WIDE)
-    led = trees.select("tree", prefix, "id", "n").join(wide, ["tree", "prefix"]).where(f"id <> lead and 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    led = trees.select("tree", prefix, "id", "n").join(wide, ["tree", "prefix"]).where(f"id <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     # the regions in which not all pairs are candidates
     large = stow.put(trees.groupBy("tree", prefix).agg(F.count("*").alias("m")).where(F.col("m") > SMALL).select("tree", "prefix"), "large")
     inside = stow.put(trees.select("tree", prefix, "id").join(large, ["tree", "prefix"]).select("id").distinct(), "inside")
-    members = classes.select("id", "n", "sig").join(inside, "id", "left_semi").mapInArrow(_members, "tree int, prefix binary, id long, n long, low binary")
+    members = classes.select("id", "n", "sig").join(inside, "id", "left_semi").mapInArrow(partial(_members, base), "tree int, prefix binary, id long, n long, low binary")
     members = stow.put(members.join(large, ["tree", "prefix"]), "members")
     # one id can stand for several texts: classes of one id are one vertex
     pairs = stow.put(near.unionByName(led).where("a <> b").distinct(), "pairs")
@@ -307,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     copies = named.join(classes.select("print", "n", F.col("id").alias("rep")), ["print", "n"]).where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stow.put(confirm(first, sets), "links")
+    links = stow.put(confirm(first, sets, percent), "links")
     for k in range(1, 1000):
         labels = components(links, stow)
         label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
@@ -320,14 +329,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if tried.isEmpty():
             break
         todo = stow.put(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"todo{k}")
-        links = stow.put(links.unionByName(confirm(tried, sets)), f"links{k}")
+        links = stow.put(links.unionByName(confirm(tried, sets, percent)), f"links{k}")
     done, most, more = pairs, OFFERS, not large.isEmpty()
     while more:
-        found = stow.put(_rest(members, labels, most), f"found{most}")
+        found = stow.put(_rest(members, labels, most, percent), f"found{most}")
         more = not found.where("more").isEmpty()
         fresh = stow.put(found.select("a", "b").join(done, ["a", "b"], "left_anti"), f"fresh{most}")
         if not fresh.isEmpty():
-            links = stow.put(links.unionByName(confirm(fresh, sets)), f"rest{most}")
+            links = stow.put(links.unionByName(confirm(fresh, sets, percent)), f"rest{most}")
             done = stow.put(done.select("a", "b").unionByName(fresh), f"done{most}")
             labels = components(links, stow) if more else labels
         free_shuffles(spark)

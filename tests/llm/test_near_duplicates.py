@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from tessera.llm import lsh_forest
 
 from . import brute
@@ -29,3 +30,22 @@ def test_template_without_smallest_id(spark):
         docs += list(zip(ids, template(rng, "abcd"[k]), strict=False))
     got = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == brute.near(docs)
+
+
+def test_threshold_of_the_stage(spark):
+    """4 words of 212 replaced: 188 of 228 shingles, 0.82; a copy with 6 is below 0.8."""
+    rng, docs = random.Random(6), []
+    for k in range(30):
+        base = [f"{k}w{j}" for j in range(212)]
+        for c, edits in enumerate((0, 4, 6)):
+            w = list(base)
+            for at in range(10, 10 + 30 * edits, 30):
+                w[at] = f"{k}x{c}x{at}"
+            docs.append((3 * k + c, " ".join(w)))
+    rng.shuffle(docs)
+    assert lsh_forest.region_depth(85) == 4 and lsh_forest.region_depth(80) == 3
+    rows = spark.createDataFrame([(i, t, "aa", "web", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {p: sorted(i for i, _, _, kept in brute.near(docs, percent=p) if kept) for p in (80, 85)}
+    assert len(want[80]) == 60 and len(want[85]) == 90
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == want[80]
+    assert sorted(r.id for r in lsh_forest.near_duplicates(rows).where("kept").collect()) == want[85]
