@@ -37,9 +37,15 @@ IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9
 SECRET = r"""(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|sk-)[A-Za-z0-9]{16,}+|(?i:password|passwd|pwd|secret|token|api[_-]?key)[ \t]{0,2}[=:][ \t]{0,2}["']?[A-Za-z0-9+/_.-]{8,}+["']?"""
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9])|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9])"
-CARD = r"[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])|[0-9]{13,19}(?![0-9])"
+CARD = r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}(?![0-9])|[0-9]{13,19}(?![0-9])"
+#: What follows a phone number and a blank and isn't its next group: another value, or a time.
+_OTHER = " (?:" + "|".join([IP, SSN, DATE, r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9]|[ -][0-9])|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])|[0-9]{13,19}(?![0-9])", r"[0-9]{1,2}:[0-9]{2}", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"]) + ")"
+PHONE = (
+    r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9]|[.-][0-9])"
+    r"|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2}(?:(?!" + _OTHER + r")[ .-]?\(?[0-9]{2,4}\)?){0,2}(?![0-9])"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+)
 KINDS = {"email": EMAIL, "iban": IBAN, "secret": SECRET, "ip": IP, "ssn": SSN, "phone": PHONE, "date": DATE, "card": CARD}
 ANY = r"(?<![A-Za-z0-9_])(?:" + "|".join(KINDS.values()) + ")"
 #: A text without any of these can't hold a value; it isn't searched further.
