@@ -5,20 +5,24 @@ smallest id; a class's signature of TREES * DEPTH minima gives TREES labels of D
 classes sorted by label: classes that share the first BASE hashes (fewer for a lower similarity) form a region, and inside a region the
 depth adapts: a region of at most SMALL classes gives all its pairs, a larger one is split by its next hash as
 long as it has one, keeping a pair with its first class for each member, and what can't be split any more gives
-each class's neighbours in the order. Regions larger than WIDE, which the sort may spread over tasks, get the pairs with
-their first class from an aggregate besides. At similarity 0.85 a pair shares the first BASE hashes in a tree
-with probability 0.52, in one of the TREES trees with 0.99999.
+each class's neighbours in the order. Where the sort cuts a region of at most SMALL classes between two tasks, its
+rows at the border meet in a second, small grouping. Regions larger than WIDE, which the sort may spread over tasks,
+get the pairs with their first class from an aggregate besides. At similarity 0.85 a pair shares the first BASE
+hashes in a tree with probability 0.52, in one of the TREES trees with 0.99999.
 
 Candidates are confirmed on the full sets, first one candidate for each class (its smallest partner), then, in
 rounds, what still joins different components. Links inside a component don't change it, so no component is
 lost by not confirming those.
 
 In regions of more than SMALL classes those are not all pairs. Where such a region is left with several components,
-every member outside its largest one is compared with all the others by signature, and what may be similar enough
-is confirmed, best first and more in each round, until nothing is left that could join two components.
+every member outside its largest one meets all the others in blocks of bounded size that hold their full sets. A
+block counts all intersections at once, as products of incidence matrices, and gives only links between different
+components, no more than join them; so rows grow with the members, not with the pairs, and no link is lost to
+an estimate. The first FIRST trees go first, as what they link needn't be compared in the others.
 
 Scale: texts are read twice and never shuffled as a whole; sets are shuffled only for classes with candidates,
-found with a fixed-size bitmap of ids. Groups of copies are collapsed by aggregation before anything is joined.
+found with a bitmap of ids of bounded size. Groups of copies are collapsed by aggregation before anything is joined.
+A family of N classes that resemble each other and aren't linked costs N * N / 2 products, in N * N / BLOCK**2 tasks.
 """
 
 from __future__ import annotations
@@ -37,12 +41,10 @@ from .components import components
 from .words import U, batches, mix, windows
 
 TREES, DEPTH, BASE, SMALL, WIDE, SHINGLE, PERCENT = 16, 8, 4, 8, 512, 5, 85
-#: Bits of the bitmap of ids with candidates (4 MB whatever the input).
-BITS = 25
-#: Rows of a side of a block in which signatures are compared; partners that a member gives in the first round.
-BLOCK, OFFERS = 1024, 4
-#: Signatures that agree this much less often than the percent asked for says (5 standard deviations of TREES * DEPTH minima) aren't confirmed.
-SLACK = 5
+#: Bits of the bitmap of ids, at least and at most (32 MB).
+BITS = (20, 28)
+#: Sets of a side of a block, and bytes of them, about; trees whose regions are compared first.
+BLOCK, BLOCK_BYTES, FIRST = 2048, 1 << 24, 2
 #: A pair at the least similarity shares no region with at most this probability.
 MISS = 2e-5
 _MULT = mix(np.arange(TREES * DEPTH, dtype=U) + U(77)) | U(1)
@@ -95,16 +97,6 @@ def _trees(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"tree": pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), "label": pa.array(labels, pa.binary()), "id": batch["id"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES))), "n": batch["n"].take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))})
 
 
-def _members(base: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each class and tree its region's label and a byte of each minimum."""
-    for batch in it:
-        sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(batch.num_rows, TREES, DEPTH, 4)
-        low = [x.tobytes() for x in sig[..., 3].reshape(batch.num_rows, -1)]
-        for t in range(TREES):
-            prefix = [x.tobytes() for x in sig[:, t, :base]]
-            yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(batch.num_rows, t, np.int32)), "prefix": pa.array(prefix, pa.binary()), "id": batch["id"], "n": batch["n"], "low": pa.array(low, pa.binary())})
-
-
 def region_pairs(labels: np.ndarray, ids: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Places of candidate pairs of one region: rows sorted by label, sharing the first base hashes."""
     a, b = [], []
@@ -142,7 +134,9 @@ def region_pairs(labels: np.ndarray, ids: np.ndarray, base: int = BASE) -> tuple
 
 
 def _neighbours(percent: int, base: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = None
+    """Candidates (a, b) of sorted rows, and the rows (tree, prefix, id, n) of the first and the last region where they are at most SMALL."""
+    kept, whole = None, True  # rows not done yet; whether they start at the region's first row here
+    first = True
 
     def out(lab, ids, n):
         a, b = region_pairs(lab, ids, base)
@@ -152,7 +146,12 @@ def _neighbours(percent: int, base: int, it: Iterator[pa.RecordBatch]) -> Iterat
 
     def emit(found):
         found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        none = lambda t: pa.nulls(len(found), t)
+        return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "tree": none(pa.int32()), "prefix": none(pa.binary()), "id": none(pa.int64()), "n": none(pa.int64())})
+
+    def border(tree, lab, ids, n):
+        none = pa.nulls(len(ids), pa.int64())
+        return pa.RecordBatch.from_pydict({"a": none, "b": none, "tree": pa.array(tree), "prefix": pa.array([x.tobytes() for x in np.ascontiguousarray(lab[:, :base])], pa.binary()), "id": pa.array(ids), "n": pa.array(n)})
 
     for batch in it:
         if not batch.num_rows:
@@ -165,105 +164,177 @@ def _neighbours(percent: int, base: int, it: Iterator[pa.RecordBatch]) -> Iterat
         edges = np.concatenate([[0], new, [len(ids)]])
         last = edges[-2] if len(ids) - edges[-2] <= 8 * WIDE else len(ids) - 1
         found = [out(lab[x:y], ids[x:y], n[x:y]) for x, y in zip(edges[:-2], edges[1:-1], strict=True) if y - x > 1]
-        if last != edges[-2]:
+        if last != edges[-2]:  # a large region is taken in stretches
             found.append(out(lab[edges[-2] :], ids[edges[-2] :], n[edges[-2] :]))
+        if first and len(edges) > 2:
+            if whole and edges[1] <= SMALL:
+                yield border(*(x[: edges[1]] for x in rows))
+            first = False
+        whole = last == edges[-2] and (whole or last > 0)
         kept = tuple(x[last:] for x in rows)
         yield emit(found)
-    if kept is not None and len(kept[2]) > 1:
-        yield emit([out(*kept[1:])])
-
-
-def _compare(most: int, percent: int):
-    """For a block's members outside their region's largest component: the `most` best partners in other components."""
-    p = percent / 100
-    least = TREES * DEPTH * p - SLACK * (TREES * DEPTH * p * (1 - p)) ** 0.5
-
-    def run(t: pa.Table) -> pa.Table:
-        side, ids, n, c = (t[x].to_numpy() for x in ("side", "id", "n", "c"))
-        sig = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b, more = [], [], []
-        if len(left) and len(right):
-            theirs = np.ascontiguousarray(sig[right].T)
-            for i in left:
-                agree = np.zeros(len(right), np.uint8)
-                for row, x in zip(theirs, sig[i], strict=True):
-                    agree += row == x
-                ok = (agree >= least) & (c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-                at = np.flatnonzero(ok)
-                best = at[np.argsort(-agree[at].astype(np.int64), kind="stable")[:most]]
-                a += [ids[i]] * len(best)
-                b += ids[right[best]].tolist()
-                more += [len(at) > most] * len(best)
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "more": pa.array(more, pa.bool_())})
-
-    return run
-
-
-def _rest(members: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
-    """(a, b, more): pairs of members (tree, prefix, id, n, low) of one region and of different components that may be similar enough.
-
-    A member outside its region's largest component gives its `most` best partners of each block; more: it has others.
-    """
+    if kept is not None:
+        if whole and len(kept[2]) <= SMALL:
+            yield border(*kept)
+        if len(kept[2]) > 1:
+            yield emit([out(*kept[1:])])
+
+
+def _cut(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the regions of at most SMALL rows that lie on both sides of a border."""
+    rows = near.where("id is not null").groupBy("tree", "prefix").agg(F.count("*").alias("m"), F.collect_list(F.struct("id", "n")).alias("rows")).where(F.col("m").between(2, SMALL))
+    pairs = rows.select(F.explode("rows").alias("x"), "rows").select("x", F.explode("rows").alias("y")).where("x.id < y.id")
+    return pairs.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets of two lists (sorted distinct hashes): frequent hashes by matrix products, others pair by pair."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = np.concatenate(left), np.concatenate(right)
+    i, j = (np.repeat(np.arange(len(x), dtype=np.int32), [len(s) for s in x]) for x in (left, right))
+    both = np.intersect1d(a, b)
+    if not len(both):
+        return out
+
+    def coded(h, at):
+        k = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        ok = both[k] == h
+        order = np.argsort(k[ok], kind="stable")
+        return k[ok][order], at[ok][order]
+
+    (k, i), (m, j) = coded(a, i), coded(b, j)
+    nk, nm = np.bincount(k, minlength=len(both)), np.bincount(m, minlength=len(both))
+    often = nk * nm > out.size / 64
+    place = np.cumsum(often) - 1
+    ik, im = often[k], often[m]
+    for lo in range(0, int(often.sum()), 1024):
+        x, y = np.zeros((len(left), 1024), np.float32), np.zeros((len(right), 1024), np.float32)
+        for z, at, code, of in ((x, i, k, ik), (y, j, m, im)):
+            c = place[code[of]] - lo
+            ok = (c >= 0) & (c < 1024)
+            z[at[of][ok], c[ok]] = 1
+        out += x @ y.T
+    k, i, m, j = k[~ik], i[~ik], m[~im], j[~im]
+    starts = np.concatenate([[0], np.cumsum(np.where(often, 0, nm))])
+    flat = out.reshape(-1)
+    times = np.where(often, 0, nm)[k]
+    ends = np.cumsum(times)
+    lo = 0
+    while lo < len(k):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 22))))
+        t = times[lo:hi]
+        step = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+        cell = np.repeat(i[lo:hi].astype(np.int64), t) * len(right) + j[np.repeat(starts[k[lo:hi]], t) + step]
+        flat += np.bincount(cell, minlength=len(flat)).astype(np.float32) if len(cell) > len(flat) // 8 else 0
+        if len(cell) <= len(flat) // 8:
+            at, c = np.unique(cell, return_counts=True)
+            flat[at] += c
+        lo = hi
+    return out
+
+
+def _exact(percent: int, key, t: pa.Table) -> pa.Table:
+    """Links of a block between different components, no more than join them."""
+    side, ids, c = (t[x].to_numpy() for x in ("side", "id", "c"))
+    sets = [np.frombuffer(x.as_buffer(), U) for x in t["set"]]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = [], []
+    if len(left) and len(right):
+        common = intersections([sets[x] for x in left], [sets[x] for x in right])
+        n = np.array([len(x) for x in sets], np.int64)
+        theirs, of = n[right], c[right]
+        roots: dict[int, int] = {}
+
+        def root(x):
+            while x in roots:
+                x = roots[x]
+            return x
+
+        for i, x in enumerate(left):
+            both = common[i].astype(np.int64)
+            at = np.flatnonzero((100 * both >= percent * (n[x] + theirs - both)) & (of != c[x]))
+            other, first = np.unique(of[at], return_index=True)
+            for y, k in zip(other.tolist(), at[first].tolist(), strict=True):
+                p, q = root(y), root(int(c[x]))
+                if p != q:
+                    roots[max(p, q)] = min(p, q)
+                    a.append(ids[x])
+                    b.append(ids[right[k]])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of members (tree, prefix, id, n) of one region and of different components, enough to join all that are linked."""
     region = ["tree", "prefix"]
     named = members.join(labels.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    sizes = named.groupBy(*region, "c").agg(F.count("*").alias("k")).groupBy(*region).agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top")).where("top.k < m")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    sizes = sizes.select(*region, F.col("top.c").alias("main"), blocks(F.col("m") - F.col("top.k")).alias("lefts"), blocks(F.col("m")).alias("rights"))
+    sizes = named.groupBy(*region, "c").agg(F.count("*").alias("k"), F.sum("n").alias("w")).groupBy(*region).agg(F.sum("k").alias("m"), F.sum("w").alias("w"), F.max(F.struct("k", "w", "c")).alias("top")).where("top.k < m")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(8 * w / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select(*region, F.col("top.c").alias("main"), blocks(F.col("m") - F.col("top.k"), F.col("w") - F.col("top.w")).alias("lefts"), blocks(F.col("m"), F.col("w")).alias("rights"))
     dealt = named.join(sizes, region)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), n).cast("int")
-    cols = [*region, "id", "n", "low", "c"]
+    cols = [*region, "id", "c"]
     left = dealt.where("c <> main").select(*cols, F.lit(0).alias("side"), mine("lefts").alias("i"), each("rights").alias("j"))
     right = dealt.select(*cols, F.lit(1).alias("side"), each("lefts").alias("i"), mine("rights").alias("j"))
-    return left.unionByName(right).groupBy(*region, "i", "j").applyInArrow(_compare(most, percent), "a long, b long, more boolean").where("a <> b").groupBy("a", "b").agg(F.max("more").alias("more"))
+    full = left.unionByName(right).join(sets, "id").select(*region, "i", "j", "side", "id", "c", "set")
+    return full.groupBy(*region, "i", "j").applyInArrow(lambda key, t: _exact(percent, key, t), "a long, b long").where("a <> b").distinct()
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(U)) >> U(64 - BITS)).astype(np.int64)
+def hit(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids have their bit set."""
+    at = _bits(ids, len(bitmap).bit_length() + 2)
+    return (bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def _bits(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U)) >> U(64 - bits)).astype(np.int64)
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** BITS bits with a bit set for each id (column id, long): never misses, may give a few more."""
+    """A bitmap with a bit set for each id (column id, long): never misses, may give a few more.
+
+    It has 16 bits for an id, at most 2 ** BITS[1] bits; beyond 10**8 ids more and more others pass, and the joins that follow drop them.
+    """
+    bits = int(min(BITS[1], max(BITS[0], np.ceil(np.log2(16 * ids.count() + 1)))))
+    size = 1 << (bits - 9)  # bytes of a part
 
     def collect(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BITS, bool)
+        out = np.zeros(1 << bits, bool)
         for batch in it:
-            bits[_bits(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        packed = np.packbits(bits)
-        part = len(packed) >> 6
-        own = [(k, packed[k * part : (k + 1) * part]) for k in range(64)]
+            out[_bits(batch.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        packed = np.packbits(out)
+        own = [(k, packed[k * size : (k + 1) * size]) for k in range(64)]
         own = [(k, x.tobytes()) for k, x in own if x.any()]
         yield pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in own], pa.int32()), "bits": pa.array([x for _, x in own], pa.binary())})
 
     def merge(key, t):
-        total = np.zeros((1 << BITS) >> 9, np.uint8)
+        total = np.zeros(size, np.uint8)
         for x in t["bits"]:
             total |= np.frombuffer(x.as_buffer(), np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     got = ids.select("id").mapInArrow(collect, "part int, bits binary").groupBy("part").applyInArrow(merge, "part int, bits binary").collect()
-    out = np.zeros((64, (1 << BITS) >> 9), np.uint8)
+    out = np.zeros((64, size), np.uint8)
     for r in got:
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.reshape(-1)
 
 
 def _sets_of(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(id, set) of the rows whose id has its bit set."""
+    """(id, print, set) of the rows whose id has its bit set."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in it:
-            at = _bits(batch.column(0).to_numpy(zero_copy_only=False))
-            hit = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-            for lo in range(0, hit.num_rows, 1024):
-                part = hit.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1).to_pylist())], pa.large_binary()).cast(pa.binary())], names=["id", "set"])
+            named = batch.filter(pa.array(hit(shared.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            for lo in range(0, named.num_rows, 1024):
+                part = named.slice(lo, 1024)
+                sets = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist())]
+                prints = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["id", "print", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, print binary, set binary")
 
 
 def _linked(percent: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,20 +369,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sketches.where("id is not null and n > 0")
     classes = stow.put(named.groupBy("print", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     trees = stow.put(classes.select("id", "n", "sig").mapInArrow(_trees, "tree int, label binary, id long, n long"), "trees")
-    near = trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(partial(_neighbours, percent, base), "a long, b long")
+    shape = "a long, b long, tree int, prefix binary, id long, n long"
+    near = stow.put(trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(partial(_neighbours, percent, base), shape), "near")
     prefix = F.substring("label", 1, 4 * base).alias("prefix")
-    wide = trees.groupBy("tree", prefix).agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n")).where(F.col("m") > WIDE)
-    led = trees.select("tree", prefix, "id", "n").join(wide, ["tree", "prefix"]).where(f"id <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     # the regions in which not all pairs are candidates
-    large = stow.put(trees.groupBy("tree", prefix).agg(F.count("*").alias("m")).where(F.col("m") > SMALL).select("tree", "prefix"), "large")
-    inside = stow.put(trees.select("tree", prefix, "id").join(large, ["tree", "prefix"]).select("id").distinct(), "inside")
-    members = classes.select("id", "n", "sig").join(inside, "id", "left_semi").mapInArrow(partial(_members, base), "tree int, prefix binary, id long, n long, low binary")
-    members = stow.put(members.join(large, ["tree", "prefix"]), "members")
+    large = stow.put(trees.groupBy("tree", prefix).agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n")).where(F.col("m") > SMALL), "large")
+    members = stow.put(trees.select("tree", prefix, "id", "n").join(large, ["tree", "prefix"]).select("tree", "prefix", "id", "n", "m", "lead", "lead_n"), "members")
+    led = members.where(f"m > {WIDE} and id <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     # one id can stand for several texts: classes of one id are one vertex
-    pairs = stow.put(near.unionByName(led).where("a <> b").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(inside)
-    least = rows.where("id is not null").select("id", "text")
-    sets = stow.put(_sets_of(least, id_bitmap(ends)).join(ends.distinct(), "id", "left_semi"), "sets")
+    pairs = stow.put(near.where("a is not null").select("a", "b").unionByName(_cut(near, percent)).unionByName(led).where("a <> b").distinct(), "pairs")
+    stow.drop("trees", "near", "large")
+    ends = stow.put(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct(), "ends")
+    wanted = _sets_of(rows.where("id is not null"), id_bitmap(ends)).join(ends, "id", "left_semi")
+    sets = stow.put(wanted.groupBy("id", "print").agg(F.first("set").alias("set")).select("id", "set"), "sets")
     free_shuffles(spark)
 
     copies = named.join(classes.select("print", "n", F.col("id").alias("rep")), ["print", "n"]).where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
@@ -330,18 +400,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         todo = stow.put(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"todo{k}")
         links = stow.put(links.unionByName(confirm(tried, sets, percent)), f"links{k}")
-    done, most, more = pairs, OFFERS, not large.isEmpty()
-    while more:
-        found = stow.put(_rest(members, labels, most, percent), f"found{most}")
-        more = not found.where("more").isEmpty()
-        fresh = stow.put(found.select("a", "b").join(done, ["a", "b"], "left_anti"), f"fresh{most}")
-        if not fresh.isEmpty():
-            links = stow.put(links.unionByName(confirm(fresh, sets, percent)), f"rest{most}")
-            done = stow.put(done.select("a", "b").unionByName(fresh), f"done{most}")
-            labels = components(links, stow) if more else labels
+    for part in (F.col("tree") < FIRST, F.col("tree") >= FIRST):
+        more = stow.put(_rest(members.where(part), labels, sets, percent), "more")
+        links = stow.put(links.unionByName(more), "linked")
+        labels = components(links, stow)
         free_shuffles(spark)
-        most *= 4
-    labels = components(links.unionByName(copies), stow)
+    labels = stow.put(components(links.unionByName(copies), stow), "last")
+    stow.only("sketches", "last")
     free_shuffles(spark)
     return sketches.select("id", F.col("n").alias("n_shingles")).join(labels, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 

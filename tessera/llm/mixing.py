@@ -8,8 +8,10 @@ demand D(t) = target * int_0^t w / int_0^1 w at the interval's start gives the o
 Sorting by position interleaves the sources as the schedules ask.
 
 Scale: the prefix sums that place documents are taken over (source, bucket of the order hash) groups, so a
-source with a third of all rows is spread over `2**(4 * HEX)` groups; only sums per group are shuffled for
-the offsets. Nothing is collected; tables by source have one row per source.
+source with a third of all rows, or an id that as many share, is spread over `2**(4 * HEX)` groups; only sums per
+group are shuffled for the offsets, which are joined on the partitioning that the prefix sums already have. So a
+document is shuffled once to be placed, and once more for each time it is taken, by position. Nothing is
+collected; tables by source have one row per source.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def _check(schedules: list[Schedule]) -> None:
 
 
 def targets(sizes: DataFrame, schedules: list[Schedule], ratio: float, cap: float) -> DataFrame:
-    """(source, source_size) to (source, source_size, target, sched).
+    """(source, source_size, ...) with target and sched added.
 
     Schedules are dealt to the sources by code point, null last, repeating. sum(target) is ratio * sum(size)
     unless every source stops at cap times its size. One row per source goes through one task here.
@@ -53,7 +55,7 @@ def targets(sizes: DataFrame, schedules: list[Schedule], ratio: float, cap: floa
     out = out.withColumn("level", (budget - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
     # sources by rising reach: those before the first that the common level doesn't fill are full
     out = out.withColumn("common", F.min(F.when(F.col("level") < F.col("reach"), F.struct("reach", "rank", "level"))).over(everything)["level"])
-    return out.select("source", "source_size", F.when(F.col("common").isNull(), F.col("most")).otherwise(F.least("most", F.col("common") * F.col("weight"))).alias("target"), "sched")
+    return out.select(*sizes.columns, F.when(F.col("common").isNull(), F.col("most")).otherwise(F.least("most", F.col("common") * F.col("weight"))).alias("target"), "sched")
 
 
 def invert(y: Column, sched: Column, schedules: list[Schedule]) -> Column:
@@ -72,7 +74,7 @@ def invert(y: Column, sched: Column, schedules: list[Schedule]) -> Column:
     return out
 
 
-def plan(docs: DataFrame, schedules: list[Schedule], *, ratio: float = 1.5, cap: float = 2.0, boundary: str = "cut", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, seed: str = "mix") -> DataFrame:
+def plan(docs: DataFrame, schedules: list[Schedule], *, ratio: float = 1.5, cap: float = 2.0, boundary: str = "cut", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", size_col: str | None = None, content_col: str | None = None, seed: str = "mix") -> DataFrame:
     """One row per input row: doc (struct of all input columns), size, source_size, target and takes.
 
     takes lists the occurrences in the mix as (epoch, words, position); words is the number of leading words
@@ -80,24 +82,30 @@ def plan(docs: DataFrame, schedules: list[Schedule], *, ratio: float = 1.5, cap:
     "whole" takes that document if at least half of it fits. Size is size_col or the text's number of words.
 
     Null text or size: size 0, never taken. Null source: a source of its own, after all others. Null ids order
-    as the empty id. Repeated rows count as separate documents. Empty table: no rows. Input columns stay
-    inside `doc`, so their names can't clash with the plan's.
+    as the empty id. The order is that of a hash of seed, id and content_col or else all columns, so it doesn't depend on partitions:
+    rows of one id with different columns stand apart, and rows that are equal in all columns count as separate
+    documents whose places are interchangeable. Map columns don't take part in the hash. Empty table: no rows.
+    Input columns stay inside `doc`, so their names can't clash with the plan's.
     """
     _check(schedules)
     if boundary not in ("cut", "whole"):
         raise ValueError(f"boundary: {boundary}")
     size = F.greatest(F.lit(0), F.coalesce(F.col(f"`{size_col}`"), F.lit(0))).cast("long") if size_col else n_words(F.col(text_col))
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source_col).alias("source"), size.alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    content = F.coalesce(F.col(f"`{content_col}`").cast("string"), F.lit("")) if content_col else F.xxhash64(*hashed).cast("string")
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), content))
+    # a text that stands for the source, null included: windows and joins on it share one partitioning
+    name = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(source_col).alias("source"), name.alias("name"), size.alias("size"), key.alias("key"))
     base = base.withColumn("bucket", F.substring("key", 1, HEX))
-    groups = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    to_source = Window.partitionBy("source").orderBy("bucket")
+    groups = base.groupBy("name", "source", "bucket").agg(F.sum("size").alias("words"))
+    to_source = Window.partitionBy("name").orderBy("bucket")
     groups = groups.withColumn("before", F.coalesce(F.sum("words").over(to_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    by_source = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, ratio, cap)
-    g, s = groups.alias("g"), by_source.alias("s")
-    offsets = g.join(s, F.col("g.source").eqNullSafe(F.col("s.source"))).select(F.col("g.source").alias("source_"), F.col("g.bucket").alias("bucket_"), "before", "source_size", "target", "sched")
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    by_source = targets(groups.groupBy("name", "source").agg(F.sum("words").alias("source_size")), schedules, ratio, cap)
+    offsets = groups.select("name", "bucket", "before").join(by_source.select("name", "source_size", "target", "sched"), "name")
+    in_bucket = Window.partitionBy("name", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_"))).withColumn("start", F.col("before") + F.col("within"))
+    placed = placed.join(offsets.hint("merge"), ["name", "bucket"]).withColumn("start", F.col("before") + F.col("within"))
     limit = F.round("target").cast("long")
 
     def take(epoch: Column) -> Column:
@@ -123,9 +131,9 @@ CURRICULUM: list[Schedule] = [[(0.0, 7.0), (1.0, 3.0)], [(0.0, 1.0), (1.0, 3.0)]
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n_words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("n_words"), F.md5(F.coalesce("text", F.lit(""))).alias("content"))
     docs = Stow(spark).put(docs, "sized")  # three readers follow; texts are counted once
-    out = plan(docs, CURRICULUM, ratio=1.5, cap=2.0, size_col="n_words")
+    out = plan(docs, CURRICULUM, ratio=1.5, cap=2.0, size_col="n_words", content_col="content")
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return out.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), F.round(F.try_element_at("takes", F.lit(1))["position"], 6).alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -133,7 +141,7 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat('mix', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key
+         md5(concat('mix', coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))) AS key
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS sched

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stow, free_shuffles, table
-from .lsh_forest import _bits, id_bitmap
+from .lsh_forest import hit, id_bitmap
 from .words import U, batches, mix, windows
 
 N, DEPTH, CELL_BITS, SEGMENT = 20, 2, 28, 16
@@ -243,8 +243,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     flagged = spark.sparkContext.broadcast(id_bitmap(by_id))
 
     def touched(part: pa.RecordBatch) -> np.ndarray:
-        at = _bits(_ids(part.column(0)))
-        return (flagged.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+        return hit(flagged.value, _ids(part.column(0)))
 
     def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
