@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, lsh_forest, mixing, pii, spm_wfst
-from tessera.llm.common import Stow
+from tessera.llm.common import Stow, made_since, open_stows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays if at least this share of its grams belongs to the language predicted.
@@ -26,9 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, once if its row is repeated; null ids stay."""
+    """Keeps the document with the smallest id of each group; null ids stay.
+
+    A document is all rows of one id: if they have different texts, they stay or go together, and a row that is
+    there several times with one text stays once.
+    """
     gone = lsh_forest.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    named = docs.select(*COLUMNS).where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
@@ -61,12 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
+    """All stages over documents; each one's result is written to the shared folder and read again, and what it was made from deleted."""
     docs, stow = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stow(spark)
     for k, (name, stage) in enumerate(STAGES):
+        before = set(open_stows())
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stow.put(docs, name)
-            if k:
-                stow.drop(STAGES[k - 1][0])
+            stow.only(name)
+            for made in made_since(before):
+                made.clear()
     return docs
