@@ -10,15 +10,14 @@ rows at the border meet in a second, small grouping. Regions larger than WIDE, w
 get the pairs with their first class from an aggregate besides. At similarity 0.85 a pair shares the first BASE
 hashes in a tree with probability 0.52, in one of the TREES trees with 0.99999.
 
-Candidates are confirmed on the full sets, first one candidate for each class (its smallest partner), then, in
-rounds, what still joins different components. Links inside a component don't change it, so no component is
-lost by not confirming those.
+Candidates are confirmed on the full sets, first one candidate for each class (its smallest partner), then those
+of regions of at most SMALL classes that still join different components. Links inside a component don't change
+it, so no component is lost by not confirming those.
 
-In regions of more than SMALL classes those are not all pairs. Where such a region is left with several components,
-every member outside its largest one meets all the others in blocks of bounded size that hold their full sets. A
+Where a region of more than SMALL classes is left with several components, every member outside its largest one meets all the others in blocks of bounded size that hold their full sets. A
 block counts all intersections at once, as products of incidence matrices, and gives only links between different
 components, no more than join them; so rows grow with the members, not with the pairs, and no link is lost to
-an estimate. The first FIRST trees go first, as what they link needn't be compared in the others.
+an estimate.
 
 Scale: texts are read twice and never shuffled as a whole; sets are shuffled only for classes with candidates,
 found with a bitmap of ids of bounded size. Groups of copies are collapsed by aggregation before anything is joined.
@@ -43,8 +42,8 @@ from .words import U, batches, mix, windows
 TREES, DEPTH, BASE, SMALL, WIDE, SHINGLE, PERCENT = 16, 8, 4, 8, 512, 5, 85
 #: Bits of the bitmap of ids, at least and at most (32 MB).
 BITS = (20, 28)
-#: Sets of a side of a block, and bytes of them, about; trees whose regions are compared first.
-BLOCK, BLOCK_BYTES, FIRST = 2048, 1 << 24, 2
+#: Sets of a side of a block, and bytes of them, about.
+BLOCK, BLOCK_BYTES = 2048, 1 << 24
 #: A pair at the least similarity shares no region with at most this probability.
 MISS = 2e-5
 _MULT = mix(np.arange(TREES * DEPTH, dtype=U) + U(77)) | U(1)
@@ -115,9 +114,8 @@ def region_pairs(labels: np.ndarray, ids: np.ndarray, base: int = BASE) -> tuple
             a.append(np.full(m - 1, lead))
             b.append(rest)
         if d == DEPTH:
-            for step in (1, 2):
-                a.append(np.arange(lo, hi - step))
-                b.append(np.arange(lo + step, hi))
+            a.append(np.arange(lo, hi - 1))
+            b.append(np.arange(lo + 1, hi))
         else:
             if len(cuts) > 2:  # neighbours on both sides of a cut
                 at = np.array(cuts[1:-1])
@@ -134,7 +132,10 @@ def region_pairs(labels: np.ndarray, ids: np.ndarray, base: int = BASE) -> tuple
 
 
 def _neighbours(percent: int, base: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of sorted rows, and the rows (tree, prefix, id, n) of the first and the last region where they are at most SMALL."""
+    """Candidates (a, b, small) of sorted rows, and the rows (tree, prefix, id, n) of the first and the last region where they are at most SMALL.
+
+    small: whether the pair's region is at most SMALL as far as it is seen here.
+    """
     kept, whole = None, True  # rows not done yet; whether they start at the region's first row here
     first = True
 
@@ -142,16 +143,16 @@ def _neighbours(percent: int, base: int, it: Iterator[pa.RecordBatch]) -> Iterat
         a, b = region_pairs(lab, ids, base)
         x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        return np.unique(np.stack([x[ok], y[ok]], 1), axis=0)
+        return np.unique(np.stack([x[ok], y[ok], np.full(int(ok.sum()), len(ids) <= SMALL)], 1), axis=0)
 
     def emit(found):
-        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         none = lambda t: pa.nulls(len(found), t)
-        return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "tree": none(pa.int32()), "prefix": none(pa.binary()), "id": none(pa.int64()), "n": none(pa.int64())})
+        return pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "small": pa.array(found[:, 2] == 1), "tree": none(pa.int32()), "prefix": none(pa.binary()), "id": none(pa.int64()), "n": none(pa.int64())})
 
     def border(tree, lab, ids, n):
         none = pa.nulls(len(ids), pa.int64())
-        return pa.RecordBatch.from_pydict({"a": none, "b": none, "tree": pa.array(tree), "prefix": pa.array([x.tobytes() for x in np.ascontiguousarray(lab[:, :base])], pa.binary()), "id": pa.array(ids), "n": pa.array(n)})
+        return pa.RecordBatch.from_pydict({"a": none, "b": none, "small": pa.nulls(len(ids), pa.bool_()), "tree": pa.array(tree), "prefix": pa.array([x.tobytes() for x in np.ascontiguousarray(lab[:, :base])], pa.binary()), "id": pa.array(ids), "n": pa.array(n)})
 
     for batch in it:
         if not batch.num_rows:
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sketches.where("id is not null and n > 0")
     classes = stow.put(named.groupBy("print", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     trees = stow.put(classes.select("id", "n", "sig").mapInArrow(_trees, "tree int, label binary, id long, n long"), "trees")
-    shape = "a long, b long, tree int, prefix binary, id long, n long"
+    shape = "a long, b long, small boolean, tree int, prefix binary, id long, n long"
     near = stow.put(trees.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(partial(_neighbours, percent, base), shape), "near")
     prefix = F.substring("label", 1, 4 * base).alias("prefix")
     # the regions in which not all pairs are candidates
@@ -377,7 +378,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stow.put(trees.select("tree", prefix, "id", "n").join(large, ["tree", "prefix"]).select("tree", "prefix", "id", "n", "m", "lead", "lead_n"), "members")
     led = members.where(f"m > {WIDE} and id <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
     # one id can stand for several texts: classes of one id are one vertex
-    pairs = stow.put(near.where("a is not null").select("a", "b").unionByName(_cut(near, percent)).unionByName(led).where("a <> b").distinct(), "pairs")
+    found = near.where("a is not null").select("a", "b", "small").unionByName(_cut(near, percent).withColumn("small", F.lit(True))).unionByName(led.withColumn("small", F.lit(False)))
+    pairs = stow.put(found.where("a <> b").groupBy("a", "b").agg(F.max("small").alias("small")), "pairs")
     stow.drop("trees", "near", "large")
     ends = stow.put(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct(), "ends")
     wanted = _sets_of(rows.where("id is not null"), id_bitmap(ends)).join(ends, "id", "left_semi")
@@ -387,24 +389,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = named.join(classes.select("print", "n", F.col("id").alias("rep")), ["print", "n"]).where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stow.put(confirm(first, sets, percent), "links")
-    for k in range(1, 1000):
-        labels = components(links, stow)
-        label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
-        left = pairs if k == 1 else todo
-        left = left.join(label("a"), "a", "left").join(label("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        left = left.join(first, ["a", "b"], "left_anti") if k == 1 else left
-        # one pair for each two components at a time; those that fail don't come back
-        tried = left.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        tried = stow.put(left.select("a", "b") if k > 3 else tried, f"tried{k}")
-        if tried.isEmpty():
-            break
-        todo = stow.put(left.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"todo{k}")
-        links = stow.put(links.unionByName(confirm(tried, sets, percent)), f"links{k}")
-    for part in (F.col("tree") < FIRST, F.col("tree") >= FIRST):
-        more = stow.put(_rest(members.where(part), labels, sets, percent), "more")
-        links = stow.put(links.unionByName(more), "linked")
-        labels = components(links, stow)
-        free_shuffles(spark)
+    labels = components(links, stow)
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    left = pairs.where("small").join(label("a"), "a", "left").join(label("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    links = stow.put(links.unionByName(confirm(left.join(first, ["a", "b"], "left_anti"), sets, percent)), "more")
+    labels = components(links, stow)
+    links = stow.put(links.unionByName(_rest(members.select("tree", "prefix", "id", "n"), labels, sets, percent)), "all")
+    free_shuffles(spark)
     labels = stow.put(components(links.unionByName(copies), stow), "last")
     stow.only("sketches", "last")
     free_shuffles(spark)

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from tessera.llm import lsh_forest
 
@@ -49,3 +52,42 @@ def test_threshold_of_the_stage(spark):
     assert len(want[80]) == 60 and len(want[85]) == 90
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == want[80]
     assert sorted(r.id for r in lsh_forest.near_duplicates(rows).where("kept").collect()) == want[85]
+
+
+def test_family_that_is_not_linked(spark):
+    """Copies of a template that are linked in twos only: no pair of a large region is lost."""
+    rng, docs, base = random.Random(8), [], [f"t{k}" for k in range(400)]
+    for k in range(120):
+        one = list(base)
+        for at in rng.sample(range(5, 395, 6), 6):
+            one[at] = f"d{k}x{at}"
+        two = list(one)
+        for at in rng.sample(range(8, 395, 6), 5):
+            two[at] = f"e{k}x{at}"
+        docs += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    want = brute.near(docs)
+    assert len({c for _, _, c, _ in want}) >= 115
+    got = lsh_forest.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_region_between_two_tasks():
+    """Rows of a region of at most SMALL on both sides of a border are given twice, to meet later; others aren't."""
+    label = lambda k: np.array([k, 1, 2, 3, 4, 5, 6, 7], ">u4").tobytes()
+    rows = [(0, label(k), i, 10) for i, k in enumerate([1, 1, 2, 2, 2, 3, *[4] * 20, 5, 5, 5])]
+    for sizes in ([4, 25], [3, 1, 25], [10, 19], [29]):
+        batches, at = [], 0
+        for n in sizes:
+            tree, lab, ids, m = zip(*rows[at : at + n], strict=True)
+            batches.append(pa.RecordBatch.from_pydict({"tree": pa.array(tree, pa.int32()), "label": pa.array(lab, pa.binary()), "id": pa.array(ids), "n": pa.array(m)}))
+            at += n
+        out = [r for b in lsh_forest._neighbours(85, 4, iter(batches)) for r in b.to_pylist()]
+        assert sorted(r["id"] for r in out if r["id"] is not None) == [0, 1, 26, 27, 28]
+        assert {(r["a"], r["b"]) for r in out if r["small"]} == {(0, 1), (2, 3), (2, 4), (3, 4), (26, 27), (26, 28), (27, 28)}
+
+
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 50, rng.integers(0, 40)), rng.integers(0, 10**6, 30), [7] * (k % 2)])).astype(np.uint64) for k in range(60)]
+    got = lsh_forest.intersections(sets[:25], sets[25:])
+    assert got.astype(int).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[25:]] for a in sets[:25]]
