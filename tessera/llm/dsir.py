@@ -2,8 +2,8 @@
 
 Word unigrams and bigrams are hashed into BUCKETS. Two add-one smoothed multinomials are fitted: the raw model on
 all texts, the target model on the texts labelled good (at most TARGETS of them, by smallest hash of their id).
-A document's log importance weight is the sum of log p_target / p_raw over its grams, as in the published method,
-or the mean, which takes the length out. Adding Gumbel noise and keeping the k largest keys samples k documents
+A document's log importance weight is the sum of log p_target / p_raw over its grams, as in the published method;
+the mean, which takes the length out, is an option. Adding Gumbel noise and keeping the k largest keys samples k documents
 without replacement in proportion to their weights.
 
 Scale: fitting sends BUCKETS counts per task, scoring shuffles no text, and the k-th largest key is found by
@@ -38,8 +38,9 @@ def gram_ids(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """log p_target - log p_raw by bucket. target_ids: at most TARGETS rows; BUCKETS rows reach the driver."""
-    flags = F.broadcast(target_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True)))
+    """log p_target - log p_raw by bucket; BUCKETS rows reach the driver. target_ids are broadcast if they are at most TARGETS, else joined by sort and merge."""
+    flags = target_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
+    flags = F.broadcast(flags) if flags.limit(TARGETS + 1).count() <= TARGETS else flags.hint("merge")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(flags, "_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -100,11 +101,11 @@ def kth_largest(df: DataFrame, col: str, k: int) -> float | None:
     return lo if lo == hi else df.where(cond).orderBy(F.desc(col)).limit(k).agg(F.min(col)).first()[0]
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, *, per_gram: bool = True, scale: float = 100.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, *, per_gram: bool = False, scale: float = 100.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, log_weight, key, selected) per row of docs; round(fraction * rows) rows are selected.
 
-    log_weight is the sum over grams, or with per_gram the mean times `scale` (a text of `scale` grams weighs the
-    same either way). The noise depends on seed and id alone, so reruns agree; rows whose keys tie at the limit
+    log_weight is the sum over grams, the log ratio of the two models' probabilities of the text, or with per_gram the
+    mean times `scale`, which takes the length out (a text of `scale` grams weighs the same either way). The noise depends on seed and id alone, so reruns agree; rows whose keys tie at the limit
     are all selected. Null or empty text: weight 0. Null id: noise of its own, no target. Empty table: no rows.
     """
     stow = Stow(docs.sparkSession)

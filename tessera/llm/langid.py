@@ -4,7 +4,8 @@ Training counts the 4-byte grams of case-folded text per language over all train
 filter holds the grams that make up at least FLOOR of its grams and are at least SHARE times as frequent there
 as in the language that uses them most; FLOOR bounds a filter at 1 / FLOOR grams whatever the corpus. The
 filters of all languages share their bit positions: row h of the table is the bitmask of the languages whose
-filter has bit h set, so the AND of K rows returns every language that contains a gram. A document's votes
+filter has bit h set, so the AND of K rows returns every language that contains a gram; beyond 64 languages a
+bitmask takes several words. A document's votes
 are the popcounts per language, corrected for the filter's false positive rate.
 """
 
@@ -74,32 +75,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class BloomSlices:
-    """Bit-sliced Bloom filters: `rows[h]` is the bitmask of languages with bit h set."""
+    """Bit-sliced Bloom filters: `rows[w][h]` is the bitmask of the languages 64 * w to 64 * w + 63 with bit h set."""
 
     def __init__(self, members: dict[str, np.ndarray], prior: dict[str, int]):
         self.langs = sorted(members)
-        if len(self.langs) > 64:
-            raise ValueError("a bitmask holds 64 languages")
         self.default = max(self.langs, key=lambda x: (prior.get(x, 0), x), default=None)
         most = max([1, *(len(x) for x in members.values())])
         self.bits = max(10, int(np.ceil(np.log2(24 * most))))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.langs) <= np.dtype(t).itemsize * 8)
-        self.rows = np.zeros(1 << self.bits, kind)
+        kind = next((t for t in (np.uint8, np.uint16, np.uint32) if len(self.langs) <= np.dtype(t).itemsize * 8), np.uint64)
+        self.rows = [np.zeros(1 << self.bits, kind) for _ in range(-(-len(self.langs) // 64) or 1)]
         fill = []
         for k, lang in enumerate(self.langs):
+            row, bit = self.rows[k >> 6], kind(1 << (k & 63))
             for at in self.places(members[lang]):
-                self.rows[at] |= kind(1 << k)
-            fill.append(np.count_nonzero(self.rows >> kind(k) & kind(1)) / len(self.rows))
+                row[at] |= bit
+            fill.append(np.count_nonzero(row & bit) / len(row))
         self.false = np.array(fill) ** K
 
     def places(self, g: np.ndarray) -> Iterator[np.ndarray]:
         for mult in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:K]:
             yield ((g.astype(np.uint64) + np.uint64(1)) * np.uint64(mult)) >> np.uint64(64 - self.bits)
 
-    def masks(self, g: np.ndarray) -> np.ndarray:
+    def masks(self, g: np.ndarray) -> list[np.ndarray]:
         out = None
         for at in self.places(g):
-            out = self.rows[at] if out is None else out & self.rows[at]
+            out = [row[at] if out is None else out[w] & row[at] for w, row in enumerate(self.rows)]
         return out
 
     def votes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +107,13 @@ class BloomSlices:
         votes, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for first, part in slices(texts):
             g, ok = grams(part)
-            m = self.masks(g)
-            m[~ok] = 0
             lens = np.array([len(t.encode("utf-8", "surrogatepass")) + 2 if t else 2 for t in part])
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
             n[first : first + len(part)] += np.add.reduceat(ok, starts, dtype=np.int64)
-            for k in range(len(self.langs)):
-                votes[first : first + len(part), k] += np.add.reduceat((m >> m.dtype.type(k)) & m.dtype.type(1), starts, dtype=np.int64)
+            for w, m in enumerate(self.masks(g)):
+                m[~ok] = 0
+                for k in range(64 * w, min(64 * w + 64, len(self.langs))):
+                    votes[first : first + len(part), k] += np.add.reduceat((m >> m.dtype.type(k & 63)) & m.dtype.type(1), starts, dtype=np.int64)
         return np.maximum(0, (votes - n[:, None] * self.false) / (1 - np.minimum(self.false, 0.999))), n
 
 
@@ -138,11 +138,13 @@ def predict(docs: DataFrame, model: BloomSlices, text_col: str = "text") -> Data
     a word and its borders, or a model without languages: the most frequent training language (`und` if none),
     score 0. Ties go to the first language by code point.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 64 filters of 1 / FLOOR grams
-    base = docs.drop(*[c for c in docs.columns if c in ("lang_pred", "score")])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 1 / FLOOR grams a language
+    base = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     names = base.columns
-    at = names.index(text_col)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, lang_pred string, score double, lettered boolean"
+    at, flag = names.index(text_col), "lettered"
+    while flag in (x.lower() for x in names):
+        flag += "_"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in base.schema)}, lang_pred string, score double, `{flag}` boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -154,10 +156,10 @@ def predict(docs: DataFrame, model: BloomSlices, text_col: str = "text") -> Data
                 best = votes.argmax(1)
                 score = np.where(n > 0, np.clip(votes.max(1) / np.maximum(n, 1), 0, 1), 0)
                 lang = [m.langs[b] if s > 0 else m.default for b, s in zip(best, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), batch.column(len(names))], names=[*names, "lang_pred", "score", "lettered"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), batch.column(len(names))], names=[*names, "lang_pred", "score", flag])
 
-    out = base.withColumn("lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
-    return out.select(*[f"`{c}`" for c in names], F.when(F.col("lettered"), F.col("lang_pred")).otherwise(F.lit("und")).alias("lang_pred"), F.when(F.col("lettered"), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
+    out = base.withColumn(flag, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return out.select(*[f"`{c}`" for c in names], F.when(F.col(flag), F.col("lang_pred")).otherwise(F.lit("und")).alias("lang_pred"), F.when(F.col(flag), F.col("score")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def held_out(doc_id: str = "doc_id"):
