@@ -1,20 +1,25 @@
 """SentencePiece encoding and decoding as weighted finite-state transduction.
 
-The model file is compiled into
-  N  the normaliser: white space to the meta symbol, dummy prefix, optional removal of extra white space;
-  P  the piece transducer: a loop over all pieces, each path through a piece's characters emits its id;
-  B  byte fallback: a character that no piece covers emits its UTF-8 bytes' ids;
-  V  for BPE models, the acceptor of canonical sequences: its states are pieces and it has an arc from a to b,
-     of weight 0, exactly if merging the text of a b gives back a b. A sequence is what BPE produces if and
-     only if each neighbouring pair is, so V is enough. Arcs are found when first needed.
-An input is composed with N, then with P, B and V, and the shortest path in the tropical semiring is taken.
-In unigram models arcs weigh minus the piece's log probability and V accepts everything. In BPE models all
-other paths weigh infinity, so the path is the one that merging would give; every prefix of the input has
-exactly one finite path, which keeps the search linear.
+The model file is compiled into explicit machines over characters:
+  C  the character map, if the model has one: a trie of byte strings, rewritten leftmost and longest first;
+  N  the normaliser: states for the start, the inside and pending white space; arcs write the meta symbol for white
+     space, the dummy prefix, and nothing for white space to be removed. It has one arc for each state and character;
+  P  the piece transducer: a loop over all pieces, states are the nodes of their trie, and the arc that leads back to
+     the loop's state writes a piece's id at the piece's weight;
+  B  byte fallback: for a character that is no piece, an arc of the loop's state that writes its UTF-8 bytes' ids, or
+     the unknown id in models without bytes;
+  V  the acceptor of canonical sequences. In unigram models it has one state and accepts everything at weight 0. In
+     BPE models its states are pieces and it has an arc from a to b, of weight 0, exactly if merging the text of a b
+     gives back a b; other arcs weigh infinity. A sequence is what BPE produces if and only if each neighbouring pair
+     is. Arcs are made when first needed.
+An input, a chain of characters, is composed with C and N, which give a chain again as they are deterministic, and
+with (P + B) and V; the states of that composition are (place, state of V), its arcs go forward only, and the path
+of least weight in the tropical semiring is taken in order of place (of paths of one weight, the first found). Pieces of unigram models weigh minus their log
+probability.
 
 No piece spans certain borders (before a meta symbol after another character; around characters that are in
 no longer piece; between a letter and a mark that follows no letter in any piece). Inputs are cut there, and
-the paths of pieces between cuts are kept in a bounded cache.
+the paths of what is between cuts are kept in a bounded cache, by N's state and characters.
 """
 
 from __future__ import annotations
@@ -64,8 +69,213 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += n
 
 
+INF = float("inf")
+
+
+class CharacterMap:
+    """C: the double-array trie and the replacements of a model's precompiled character map."""
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        self.units, self.texts = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, int] | None:
+        """(length, place of the replacement) of the longest key that starts at a place."""
+        step = lambda u: (u >> 10) << ((u & 512) >> 6)
+        node, found = step(self.units[0]), None
+        for k in range(at, len(raw)):
+            node ^= raw[k]
+            if node >= len(self.units) or self.units[node] & 0x800000FF != raw[k]:
+                break
+            u = self.units[node]
+            node ^= step(u)
+            if u >> 8 & 1:
+                found = k + 1 - at, self.units[node] & 0x7FFFFFFF
+        return found
+
+    def apply(self, text: str) -> str:
+        raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+        while at < len(raw):
+            hit = self.longest(raw, at)
+            if hit is None:
+                n = 1 + (raw[at] >= 0xC0) + (raw[at] >= 0xE0) + (raw[at] >= 0xF0)
+                out.append(raw[at : at + n])
+            else:
+                n = hit[0]
+                out.append(self.texts[hit[1] : self.texts.index(b"\0", hit[1])])
+            at += n
+        return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+class Normaliser:
+    """N: arcs[state] is {character or None for all others: (what is written before the character, the character's own output or None for itself, next state)}."""
+
+    START = 0
+
+    def __init__(self, prefix: bool, squeeze: bool, escape: bool):
+        meta = META if escape else " "
+        lead = meta if prefix else ""
+        if squeeze:  # 0 before the text, 1 inside, 2 inside with white space pending
+            self.arcs = [{" ": ("", "", 0), None: (lead, None, 1)}, {" ": ("", "", 2), None: ("", None, 1)}, {" ": ("", "", 2), None: (meta, None, 1)}]
+        else:
+            self.arcs = [{" ": (lead, meta, 1), None: (lead, None, 1)}, {" ": ("", meta, 1), None: ("", None, 1)}]
+
+        #: states that all arcs lead back to, with nothing before a character, replace characters only
+        self.plain = [{ord(c): own for c, (_, own, _) in arcs.items() if c} if all(x[0] == "" and x[2] == k for x in arcs.values()) else None for k, arcs in enumerate(self.arcs)]
+
+    def run(self, state: int, s: str) -> tuple[str, int]:
+        if self.plain[state] is not None:
+            return s.translate(self.plain[state]), state
+        out = []
+        for c in s:
+            arcs = self.arcs[state]
+            before, own, state = arcs.get(c) or arcs[None]
+            out.append(before + (c if own is None else own))
+        return "".join(out), state
+
+
+class Pieces:
+    """P and B: `root` is the loop's state; a state is {character: next state}, with under DONE the (id, weight) of its arc back to the loop."""
+
+    DONE = ""
+
+    def __init__(self, weights: dict[str, tuple[int, float]], fallback: float):
+        self.root, self.fallback = {}, fallback
+        for piece, arc in weights.items():
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[self.DONE] = arc
+
+
+class Canonical:
+    """V of a BPE model: weight(a, b) of the arc from piece a (None: the start) to piece b.
+
+    Merging goes from high to low scores, so the history of a b can be read backwards: of a's and b's last merges the
+    one with the lower score came last (level ones: the right one). Before it, the part of that piece at the border
+    was beside the other piece; had the two made a piece of a higher score (or, left of it, a level one), that merge
+    would have come first and crossed the border. Models whose pieces aren't merged in order of score are simulated.
+    """
+
+    MOST = 1 << 20
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores, self.made, self.halves = scores, {}, {}
+        self.ordered = True
+        for p in scores:
+            if len(p) > 1 and self.split(p) is not None and any(len(x) > 1 and scores[x] < scores[p] for x in self.split(p)):
+                self.ordered = False
+
+    def merged(self, text: str) -> list[str]:
+        """What merging the best-scored pair, leftmost first, again and again leaves of a short text."""
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        parts, last = list(text), None
+        while True:
+            best = None
+            for k in range(len(parts) - 1):
+                score = self.scores.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best[0]):
+                    best = score, k
+            if best is None:
+                return parts, last
+            last = parts[best[1]], parts[best[1] + 1]
+            parts[best[1] : best[1] + 2] = [last[0] + last[1]]
+
+    def split(self, p: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes p; None if merging p's characters doesn't give p."""
+        if p not in self.halves:
+            parts, last = self._merge(p)
+            self.halves[p] = last if len(parts) == 1 else None
+        return self.halves[p]
+
+    def _follows(self, a: str, b: str) -> bool:
+        scores = self.scores
+        if a + b in scores:
+            return False
+        while len(a) > 1 or len(b) > 1:
+            of_a, of_b = (scores[x] if len(x) > 1 else INF for x in (a, b))
+            if of_a < of_b:
+                a = self.split(a)[1]
+                if scores.get(a + b, -INF) > of_a:
+                    return False
+            else:
+                b = self.split(b)[0]
+                if scores.get(a + b, -INF) >= of_b:
+                    return False
+        return True
+
+    def weight(self, a: str | None, b: str) -> float:
+        w = self.made.get((a, b))
+        if w is None:
+            if len(self.made) > self.MOST:
+                self.made.clear()
+            if len(b) > 1 and self.split(b) is None or a is not None and len(a) > 1 and self.split(a) is None:
+                ok = False
+            elif a is None:
+                ok = True
+            else:
+                ok = self._follows(a, b) if self.ordered else self.merged(a + b) == [a, b]
+            w = self.made[a, b] = 0.0 if ok else INF
+        return w
+
+
+class Everything:
+    """V of a unigram model: one state, all arcs of weight 0."""
+
+    def weight(self, a: None, b: str) -> float:
+        return 0.0
+
+
+def shortest(s: str, pieces: Pieces, allowed: Canonical | Everything) -> list[tuple[str, int | None]]:
+    """The (piece, id) of the path of least weight through the chain s, composed with P + B and V.
+
+    at[i] is the composition's state at place i: (weight, place before, state of V, id). One state for each place is
+    enough: V has one state in unigram models, and in BPE models a place has one path of finite weight, so arcs to a
+    place that is reached needn't be made.
+    """
+    one, n = isinstance(allowed, Everything), len(s)
+    at: list[tuple | None] = [None] * (n + 1)
+    at[0] = (0.0, 0, None, None)
+    weight, made, root, done = allowed.weight, getattr(allowed, "made", {}), pieces.root, Pieces.DONE
+    for i in range(n):
+        if at[i] is None:
+            continue
+        cost, _, v, _ = at[i]
+        if done not in root.get(s[i], ()):  # B's arc
+            arcs = [(i + 1, None, pieces.fallback)]
+        else:
+            arcs = []
+        node, j = root, i
+        while j < n:
+            node = node.get(s[j])
+            if node is None:
+                break
+            j += 1
+            arc = node.get(done)
+            if arc is not None and (one or at[j] is None):
+                arcs.append((j, *arc))
+        for j, piece_id, w in arcs:
+            to = at[j]
+            if one:
+                if to is None or cost + w < to[0]:
+                    at[j] = (cost + w, i, None, piece_id)
+            elif to is None:
+                b = s[i:j]
+                x = made.get((v, b))
+                if (weight(v, b) if x is None else x) < INF:
+                    at[j] = (cost + w, i, b, piece_id)
+    out, i = [], len(s)
+    while i:
+        _, j, _, piece_id = at[i]
+        out.append((s[j:i], piece_id))
+        i = j
+    return out[::-1]
+
+
 class Transducer:
-    """encode(text) -> ids and decode(ids) -> text of a SentencePiece model file (its bytes)."""
+    """encode(text) -> ids and decode(ids) -> text of a SentencePiece model file (its bytes), of type unigram or BPE."""
 
     def __init__(self, model: bytes):
         pieces, trainer, norm = [], {}, {}
@@ -80,117 +290,70 @@ class Transducer:
         self.bpe = trainer.get(3, 1) == 2
         if trainer.get(3, 1) not in (1, 2):
             raise ValueError("the model must be of type unigram or bpe")
-        if norm.get(2):
-            raise ValueError("models with a precompiled character map aren't supported")
-        self.prefix, self.squeeze, self.escape = bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
+        self.map = CharacterMap(norm[2]) if norm.get(2) else None
+        self.prefix, squeeze, escape = bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1))
+        self.norm = Normaliser(self.prefix, squeeze, escape)
         self.unk = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
-        self.ids = {p[0]: i for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)}
-        self.scores = [p[1] for p in pieces]
+        own = {p[0]: (i, p[1]) for i, p in enumerate(pieces) if p[2] == NORMAL}
+        user = {p[0]: i for i, p in enumerate(pieces) if p[2] == USER}
+        lowest, highest = (f((x for _, x in own.values()), default=0.0) for f in (min, max))
         self.bytes = {int(p[0][3:5], 16): i for i, p in enumerate(pieces) if p[2] == BYTE}
-        self.longest = max(map(len, self.ids), default=1)
-        self.unk_cost = 10.0 - min((self.scores[i] for i in self.ids.values()), default=0.0)
-        space = (lambda s: s.replace(META, " ")) if self.escape else (lambda s: s)
+        if self.bpe:  # all finite paths weigh 0
+            arcs = {p: (i, 0.0) for p, (i, _) in own.items()}
+            self.pieces, self.allowed = Pieces(arcs, 0.0), Canonical({p: x for p, (_, x) in own.items()})
+        else:  # user-defined pieces beat all others of their length
+            arcs = {p: (i, -x) for p, (i, x) in own.items()} | {p: (i, 0.1 - len(p.encode()) * highest) for p, i in user.items()}
+            self.pieces, self.allowed = Pieces(arcs, 10.0 - lowest), Everything()
+        self.user = {p: np.array([i]) for p, i in user.items()} if self.bpe else {}
+        space = (lambda s: s.replace(META, " ")) if escape else (lambda s: s)
         self.out = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b"" if p[2] == CONTROL else " ⁇ ".encode() if p[2] == UNKNOWN else space(p[0]).encode() for p in pieces]
         self.small = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
-        inner = {c for p in self.ids if len(p) > 1 for c in p}
-        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        inner = {c for p in arcs for c in p if len(p) > 1}
+        after = {b for p in arcs for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
         marks = "".join(re.escape(c) for c in "\n\t.,;:!?()\"'-/|*#%$&+=<>[]{}" if c not in after)
         alone = "".join(re.escape(c) for c in "\n\t" if c not in inner)
-        bad = any(META in p[i:] for p in self.ids for i in [len(p) - len(p.lstrip(META))])  # a meta symbol after another character
-        units = [rf"[{alone}]"] * bool(alone) + [rf"{META}*[^\W\d_]+(?=[{marks}])"] * bool(marks) + [rf"{META}*[^{META}{alone}]+", f"{META}+"]
-        self.unit = re.compile("|".join(units) if not bad else r"(?s:.+)")
-        self.pairs: dict[tuple, bool] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", META) if self.escape else text
-
-    def merged(self, text: str) -> list[str]:
-        """What merging the best-scored pair, leftmost first, again and again leaves of a short text."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best[0]):
-                    best = self.scores[i], k
-            if best is None:
-                return parts
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-
-    def arc(self, a: str | None, b: str) -> bool:
-        """Whether V lets b follow a; a is None at the start, where b itself has to survive merging."""
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged((a or "") + b) == ([a, b] if a is not None else [b])
-        return ok
-
-    def _path_bpe(self, s: str) -> list[str]:
-        """The one finite path: last[i] is the last piece of the path to i."""
-        ids, arc, longest = self.ids, self.arc, self.longest
-        last: list[str | None] = [None]
-        for i in range(1, len(s) + 1):
-            for j in range(max(0, i - longest), i):
-                piece = s[j:i]
-                if (j == i - 1 or piece in ids) and (last[j] is not None or j == 0) and arc(last[j], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(None)
-        out, i = [], len(s)
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
-
-    def _path_unigram(self, s: str) -> list[str]:
-        cost, back = [0.0] + [float("inf")] * len(s), [0] * (len(s) + 1)
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + self.longest) + 1):
-                at = self.ids.get(s[i:j])
-                w = -self.scores[at] if at is not None else self.unk_cost if j == i + 1 else None
-                if w is not None and cost[i] + w < cost[j]:
-                    cost[j], back[j] = cost[i] + w, i
-        out, i = [], len(s)
-        while i:
-            out.append(s[back[i] : i])
-            i = back[i]
-        return out[::-1]
-
-    def _unit(self, s: str) -> bytes:
-        out = []
-        for piece in self._path_bpe(s) if self.bpe else self._path_unigram(s):
-            i = self.ids.get(piece)
+        bad = any(META in p.lstrip(META) for p in arcs) or not escape
+        blank = f"[ {META}]"  # N writes the meta symbol for either
+        units = [rf"[{alone}]"] * bool(alone) + [rf"{blank}*[^\W\d_]+(?=[{marks}])"] * bool(marks) + [rf"{blank}*[^ {META}{alone}]+", f"{blank}+"]
+        units = [re.escape(p) for p in sorted(self.user, key=len, reverse=True)] + (units if not bad else [r"(?s:.+)"])
+        self.unit = re.compile("|".join(units))
+        self.young: list[dict[str, tuple]] = [{} for _ in self.norm.arcs]
+        self.old: list[dict[str, tuple]] = [{} for _ in self.norm.arcs]
+
+    def _path(self, state: int, unit: str) -> tuple[bytes, int]:
+        """Ids of what lies between two cuts, and N's state after it."""
+        if unit in self.user:
+            return self.user[unit].astype(self.small).tobytes(), 1
+        s, state = self.norm.run(state, unit)
+        out: list[int] = []
+        for piece, i in shortest(s, self.pieces, self.allowed) if s else ():
             if i is not None:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
-        return np.array(out, self.small).tobytes()
+        return np.array(out, self.small).tobytes(), state
 
     def encode(self, text: str) -> np.ndarray:
-        young, out = self.young, []
-        for u in self.unit.findall(self.normalise(text)):
-            ids = young.get(u)
-            if ids is None:
-                ids = self.old.get(u)
-                if ids is None:
-                    ids = self._unit(u)
+        if self.map is not None:
+            text = self.map.apply(text)
+        state, out = Normaliser.START, []
+        for u in self.unit.findall(text):
+            young = self.young[state]
+            got = young.get(u)
+            if got is None:
+                got = self.old[state].get(u) or self._path(state, u)
                 if len(u) <= 48:
-                    young[u] = ids
+                    young[u] = got
                     if len(young) > CACHE:
-                        self.old, self.young = young, {}
-                        young = self.young
-            out.append(ids)
-        return np.frombuffer(b"".join(out), self.small).astype(np.int32)
+                        self.old[state], self.young[state] = young, {}
+            out.append(got[0])
+            state = got[1]
+        ids = np.frombuffer(b"".join(out), self.small).astype(np.int32)
+        if not self.bytes and len(ids):  # a run of unknown characters is one id, across cuts too
+            ids = ids[np.concatenate([[True], (ids[1:] != self.unk) | (ids[:-1] != self.unk)])]
+        return ids
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.out.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids)).decode("utf-8", "replace")
