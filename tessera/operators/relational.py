@@ -72,9 +72,9 @@ def merge(tables: list[DataFrame], keys: list[str], order_by: str | None = None)
 
 
 def hybrid(recent: DataFrame, history: DataFrame, time_col: str, split: Any) -> DataFrame:
-    """Rows since `split` from one source, earlier ones from another, below whatever filters and aggregates follow."""
+    """Rows since `split` from one source, earlier ones and those without a time from another, below whatever filters and aggregates follow."""
     at = split if isinstance(split, Column) else F.lit(split)
-    return recent.where(F.col(time_col) >= at).unionByName(history.where(F.col(time_col) < at), allowMissingColumns=True)
+    return recent.where(F.col(time_col) >= at).unionByName(history.where((F.col(time_col) < at) | F.col(time_col).isNull()), allowMissingColumns=True)
 
 
 def skew(df: DataFrame, key: str, share: float = 0.05) -> DataFrame:

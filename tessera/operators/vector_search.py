@@ -12,9 +12,14 @@ from ..functions.vectors import METRICS, distance, literal
 
 
 def knn(df: DataFrame, vec: str, query: list[float], k: int = 10, metric: str = "cosine", where: Column | None = None, id_col: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """The k nearest rows that meet `where`, with their distance; ties by id_col. A heap per task."""
+    """The k nearest rows that meet `where`, with their distance; ties by id_col. A heap per task.
+
+    Rows without a distance take no part: null vectors, other lengths, null or non-finite components.
+    """
     df = df.where(where) if where is not None else df
-    out = df.withColumn("distance", distance(F.col(vec), literal(query), metric))
+    c = F.col(vec)
+    fine = (F.size(c) == len(query)) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    out = df.where(fine).withColumn("distance", distance(c, literal(query), metric)).where("distance is not null and not isnan(distance)")
     out = out.orderBy("distance", *([id_col] if id_col else [])).limit(k)
     return out.select(*columns, "distance") if columns else out
 

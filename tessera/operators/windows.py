@@ -48,10 +48,15 @@ def trend(df: DataFrame, key: str, ts: str, value: str, ahead_s: int = 300) -> D
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential mean of each key's values in order: e = alpha * x + (1 - alpha) * e, from the first value on."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_x")))).alias("r"))
-    xs = F.transform("r", lambda s: s["_x"])
-    return rows.select(key, F.aggregate(F.slice(xs, F.lit(2), F.greatest(F.lit(0), F.size(xs) - 1)), F.get(xs, F.lit(0)), lambda e, x: alpha * x + (1 - alpha) * e).alias("ema"))
+    """Exponential mean of each key's values in order: e = alpha * x + (1 - alpha) * e, from the first value on.
+
+    Unrolled, a value weighs alpha * (1 - alpha) ** (number of later ones), the first without alpha; a sum then
+    suffices and no group is held as a list.
+    """
+    w = Window.partitionBy(key)
+    rows = df.select(key, F.col(value).cast("double").alias("x"), F.row_number().over(w.orderBy(*order, value)).alias("i"), F.count("*").over(w).alias("n"))
+    weight = F.when(F.col("i") == 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("n") - F.col("i"))
+    return rows.groupBy(key).agg(F.sum(weight * F.col("x")).alias("ema"))
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
@@ -62,14 +67,18 @@ def sessions(df: DataFrame, key: str, ts: str, gap_s: int) -> DataFrame:
 
 
 def sequences(df: DataFrame, key: str, ts: str, item: str, within_s: int = 120, least_p: float = 0.7, least_n: int = 3) -> DataFrame:
-    """Pairs (first, then): `then` directly follows `first` of the same key within so many seconds.
+    """Pairs (first, then): every other item `then` of the same key that comes within so many seconds after `first`.
 
-    probability is the share of first's rows, over all keys, that are so followed. One window, no self-join.
+    n counts pairs of rows; probability is n by first's rows over all keys, so it can pass 1. Rows of one time are in
+    order of their items. Equal rows are counted before they are joined, and the join is by time buckets of within_s,
+    so a row meets only its own bucket's and the next one's.
     """
-    o = Window.partitionBy(key).orderBy(ts, item)
-    nxt = df.select(F.col(item).alias("first"), F.when(F.lead(seconds(ts)).over(o) - seconds(ts) <= within_s, F.lead(item).over(o)).alias("then"))
-    total = nxt.groupBy("first").agg(F.count("*").alias("total"))
-    pairs = nxt.where("then is not null").groupBy("first", "then").agg(F.count("*").alias("n"))
+    rows = df.where(F.col(item).isNotNull()).groupBy(F.col(key).alias("k"), seconds(ts).alias("t"), F.col(item).alias("item")).agg(F.count("*").alias("m")).withColumn("b", F.floor(F.col("t") / within_s))
+    a = rows.select("k", "b", F.col("t").alias("t1"), F.col("item").alias("first"), F.col("m").alias("m1"))
+    later = rows.select("k", F.explode(F.array("b", F.col("b") - 1)).alias("b"), F.col("t").alias("t2"), F.col("item").alias("then"), F.col("m").alias("m2"))
+    near = (F.col("first") != F.col("then")) & (F.col("t2") - F.col("t1") <= within_s) & ((F.col("t2") > F.col("t1")) | (F.col("t2") == F.col("t1")) & (F.col("then") > F.col("first")))
+    pairs = a.join(later, ["k", "b"]).where(near).groupBy("first", "then").agg(F.sum(F.col("m1") * F.col("m2")).alias("n"))
+    total = rows.groupBy(F.col("item").alias("first")).agg(F.sum("m").alias("total"))
     return pairs.join(total, "first").withColumn("probability", F.col("n") / F.col("total")).where((F.col("n") >= least_n) & (F.col("probability") >= least_p))
 
 

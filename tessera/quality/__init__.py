@@ -1,11 +1,8 @@
-"""Data quality: rules, one-pass evaluation, gates, files and rule suggestions."""
+"""Data quality: a table of rules, one-pass evaluation, gates, files and suggestions."""
 
-from .engine import QualityGateError, evaluate, gate, results_frame
-from .model import CheckResult, QualityRule, QualitySuite, RuleType, Severity, SuiteResult
-from .suggest import anomalies, explain, suggest
-from .suites import load_suite, load_suites, save_results, save_suite, suite_from_dict, suite_to_dict, suite_to_json_str, suite_to_yaml_str
+from .engine import GateClosed, Outcome, Report, evaluate, explain, gate
+from .rules import KINDS, Rule, Suite, rule
+from .suggest import anomalies, suggest
+from .suites import load, of_plain, plain, save
 
-__all__ = [
-    "CheckResult", "QualityGateError", "QualityRule", "QualitySuite", "RuleType", "Severity", "SuiteResult", "anomalies", "evaluate", "explain", "gate", "load_suite",
-    "load_suites", "results_frame", "save_results", "save_suite", "suggest", "suite_from_dict", "suite_to_dict", "suite_to_json_str", "suite_to_yaml_str",
-]
+__all__ = ["KINDS", "GateClosed", "Outcome", "Report", "Rule", "Suite", "anomalies", "evaluate", "explain", "gate", "load", "of_plain", "plain", "rule", "save", "suggest"]

@@ -1,145 +1,136 @@
 """Evaluation: all rules of a suite but custom SQL are one aggregate over one scan.
 
-Semantics: null values are skipped by all rules but not_null and completeness; a regular expression has to match from
-the start of the value; min and max of no values pass; completeness of no rows is 0; freshness of no values fails;
-naive timestamps count as UTC. custom_sql sees the table as the view `data` and passes if the first cell is true,
-a number other than 0, or a text other than '', 'false' and '0'. A rule that can't be evaluated fails with its message.
+custom_sql sees the table as the view `data` and holds if the first cell is true, a number other than 0, or a text
+other than '', 'false' and '0'. A rule that can't be evaluated fails with its message.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
-from typing import Any
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from .model import CheckResult, QualityRule, QualitySuite, RuleType, SuiteResult
-
-R = RuleType
-
-
-class QualityGateError(Exception):
-    """A blocking rule failed."""
-
-    def __init__(self, result: SuiteResult):
-        bad = next(r for r in result.results if not r.passed and r.is_blocking)
-        super().__init__(f"{result.suite_name}: {bad.rule_name} failed{': ' + bad.error_message if bad.error_message else ''}")
-        self.result = result
-
-
-def measure(rule: QualityRule) -> Column:
-    """The aggregate a rule needs: a count of offending rows, or the value it looks at."""
-    c, p = F.col(f"`{rule.column}`") if rule.column else None, rule.params
-    text = c.cast("string") if c is not None else None
-    match rule.rule_type:
-        case R.NOT_NULL:
-            return F.count_if(c.isNull())
-        case R.UNIQUE:  # repeats; nulls together count as one value
-            return F.count("*") - F.count_distinct(c) - F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))
-        case R.MIN:
-            return F.min(c)
-        case R.MAX:
-            return F.max(c)
-        case R.MIN_LENGTH:
-            return F.count_if(F.length(text) < p["min_length"])
-        case R.MAX_LENGTH:
-            return F.count_if(F.length(text) > p["max_length"])
-        case R.REGEX:
-            return F.count_if(~text.rlike(f"^(?:{p['pattern']})"))
-        case R.ACCEPTED_VALUES:
-            return F.count_if(~c.isin(*p["values"])) if p["values"] else F.count(c)
-        case R.ROW_COUNT_MIN | R.ROW_COUNT_MAX:
-            return F.count("*")
-        case R.FRESHNESS:
-            return F.unix_micros(F.max(c).cast("timestamp"))
-        case R.COMPLETENESS:
-            return F.coalesce(F.try_divide(F.count(c) * 100.0, F.count("*")), F.lit(0.0))
-    raise ValueError(f"no aggregate for {rule.rule_type}")
-
-
-def verdict(rule: QualityRule, value: Any, now: datetime) -> tuple[bool, dict[str, Any]]:
-    """Whether a rule holds, given its measure, and its metrics."""
-    p = rule.params
-    match rule.rule_type:
-        case R.MIN:
-            return value is None or value >= p["min"], {"actual_min": value, "expected_min": p["min"]}
-        case R.MAX:
-            return value is None or value <= p["max"], {"actual_max": value, "expected_max": p["max"]}
-        case R.ROW_COUNT_MIN:
-            return value >= p["min_rows"], {"row_count": value, "min_rows": p["min_rows"]}
-        case R.ROW_COUNT_MAX:
-            return value <= p["max_rows"], {"row_count": value, "max_rows": p["max_rows"]}
-        case R.FRESHNESS:
-            age = None if value is None else (now.timestamp() - value / 1_000_000) / 3600
-            return age is not None and age <= p["max_age_hours"], {"age_hours": age, "max_age_hours": p["max_age_hours"]}
-        case R.COMPLETENESS:
-            least = p.get("min_pct", 95.0)
-            return value >= least, {"completeness_pct": value, "min_pct": least}
-    return value == 0, {"violations": value}
-
-
-def fused(df: DataFrame, rules: list[QualityRule]) -> DataFrame:
-    """One row with the measures r0, r1, ... of rules that need the scan."""
-    return df.agg(*[measure(r).alias(f"r{k}") for k, r in enumerate(rules)])
+from typing import Any, NamedTuple
 
+from pyspark.sql import DataFrame, SparkSession
 
-def _problem(df: DataFrame, rule: QualityRule) -> str | None:
-    try:
-        if rule.column and rule.column not in df.columns:
-            return f"no column {rule.column}"
-        df.agg(measure(rule).alias("m")).schema  # analysis only  # noqa: B018
-    except Exception as e:
-        return str(e).splitlines()[0][:300]
-    return None
+from .rules import Rule, Suite
 
 
-def evaluate(df: DataFrame, suite: QualitySuite, clock: Callable[[], datetime] | None = None) -> SuiteResult:
-    """A suite's result in one job, and one more for each custom SQL rule."""
-    now = (clock or (lambda: datetime.now(timezone.utc)))()
-    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
-    problems = {k: _problem(df, r) for k, r in enumerate(suite.rules) if r.rule_type != R.CUSTOM_SQL}
-    scanned = [k for k, p in problems.items() if p is None]
-    found: dict[int, Any] = {}
-    if scanned:
-        try:
-            found = dict(zip(scanned, fused(df, [suite.rules[k] for k in scanned]).first(), strict=True))
-        except Exception:  # one rule fails as it runs: find which
-            for k in scanned:
-                try:
-                    found[k] = fused(df, [suite.rules[k]]).first()[0]
-                except Exception as e:
-                    problems[k] = str(e).splitlines()[0][:300]
-    out = []
-    for k, rule in enumerate(suite.rules):
-        passed, metrics, error = False, {}, problems.get(k)
-        if error is None:
-            try:
-                passed, metrics = _custom(df, rule) if rule.rule_type == R.CUSTOM_SQL else verdict(rule, found[k], now)
-            except Exception as e:
-                error = str(e).splitlines()[0][:300]
-        out.append(CheckResult(rule.name, rule.rule_type, rule.column, bool(passed), rule.severity, rule.dataset_urn or suite.dataset_urn, metrics, error, now))
-    return SuiteResult(suite.name, suite.dataset_urn, out, now)
+class Outcome(NamedTuple):
+    rule: Rule
+    passed: bool
+    measured: Any
+    error: str | None
+
+
+class Report(NamedTuple):
+    """What a suite found at a time."""
 
+    suite: Suite
+    at: datetime
+    outcomes: tuple[Outcome, ...]
 
-def _custom(df: DataFrame, rule: QualityRule) -> tuple[bool, dict[str, Any]]:
-    df.createOrReplaceTempView("data")
-    row = df.sparkSession.sql(rule.params["sql"]).first()
-    value = row[0] if row else None
-    true = value.strip().lower() not in ("", "false", "0") if isinstance(value, str) else bool(value)
-    return true, {"value": value}
+    def tally(self) -> dict[str, float]:
+        """Numbers of rules by outcome, and the share that passed in percent (0 without rules)."""
+        bad = [o.rule.blocking for o in self.outcomes if not o.passed]
+        n = len(self.outcomes)
+        return {"total": n, "passed": n - len(bad), "failed": len(bad), "blocking": sum(bad), "warnings": len(bad) - sum(bad), "score": 100.0 * (n - len(bad)) / n if n else 0.0}
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """A row per rule: for history tables and dashboards."""
+        rows = []
+        for r, passed, measured, error in self.outcomes:
+            metrics = {} if error else {r.spec.measured: measured} | ({r.spec.parameter: r.limit} if r.spec.parameter else {})
+            rows.append((self.suite.name, r.dataset or self.suite.dataset, r.name, r.kind, r.column, "blocking" if r.blocking else "warning", passed, {k: None if v is None else str(v) for k, v in metrics.items()}, error, self.at))
+        return spark.createDataFrame(rows, "suite string, dataset string, rule string, kind string, column string, severity string, passed boolean, metrics map<string,string>, error string, evaluated_at timestamp")
 
-def gate(df: DataFrame, suite: QualitySuite, clock: Callable[[], datetime] | None = None) -> SuiteResult:
-    """evaluate(), raising QualityGateError at a blocking failure."""
-    result = evaluate(df, suite, clock)
-    if result.has_blocking_failures:
-        raise QualityGateError(result)
-    return result
+
+class GateClosed(Exception):
+    """A blocking rule failed; `report` tells all."""
+
+    def __init__(self, report: Report):
+        first = next(o for o in report.outcomes if o.rule.blocking and not o.passed)
+        super().__init__(f"{report.suite.name}: {first.rule.name} failed" + (f": {first.error}" if first.error else ""))
+        self.report = report
+
+
+def _message(e: Exception) -> str:
+    return str(e).splitlines()[0][:300]
+
+
+def fused(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row with the measures r0, r1, ... of rules that need the scan."""
+    return df.agg(*[r.aggregate().alias(f"r{k}") for k, r in enumerate(rules)])
 
 
-def results_frame(spark, result: SuiteResult) -> DataFrame:
-    """A row per rule: for history tables and dashboards."""
-    rows = [(result.suite_name, r.dataset_urn, r.rule_name, r.rule_type.value, r.column, r.severity.value, r.passed, {k: None if v is None else str(v) for k, v in r.metrics.items()}, r.error_message, r.evaluated_at) for r in result.results]
-    return spark.createDataFrame(rows, "suite string, dataset_urn string, rule string, rule_type string, column string, severity string, passed boolean, metrics map<string,string>, error string, evaluated_at timestamp")
+def _analysed(df: DataFrame, rules: dict[int, Rule]) -> dict[int, str]:
+    """Messages of the rules that the analyser refuses: one plan if all are fine, else one for each."""
+    out = {k: f"no column {r.column}" for k, r in rules.items() if r.column and r.column not in df.columns}
+    rest = {k: r for k, r in rules.items() if k not in out}
+    try:
+        if rest:
+            fused(df, list(rest.values()))
+    except Exception:
+        for k, r in rest.items():
+            try:
+                fused(df, [r])
+            except Exception as e:
+                out[k] = _message(e)
+    return out
+
+
+def evaluate(df: DataFrame, suite: Suite, clock: Callable[[], datetime] | None = None) -> Report:
+    """A suite's report in one job, and one more for each custom SQL rule."""
+    now = clock() if clock else datetime.now(timezone.utc)
+    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
+    scanned = {k: r for k, r in enumerate(suite.rules) if r.spec.measure is not None}
+    errors = _analysed(df, scanned)
+    fine = {k: r for k, r in scanned.items() if k not in errors}
+    found: dict[int, Any] = {}
+    try:
+        if fine:
+            found = dict(zip(fine, fused(df, list(fine.values())).first(), strict=True))
+    except Exception:  # one fails as it runs: find which
+        for k, r in fine.items():
+            try:
+                found[k] = fused(df, [r]).first()[0]
+            except Exception as e:
+                errors[k] = _message(e)
+    for k, r in enumerate(suite.rules):
+        if k not in scanned:
+            try:
+                df.createOrReplaceTempView("data")
+                row = df.sparkSession.sql(r.limit).first()
+                found[k] = row[0] if row else None
+            except Exception as e:
+                errors[k] = _message(e)
+    outcomes = []
+    for k, r in enumerate(suite.rules):
+        value = found.get(k)
+        if r.kind == "freshness" and value is not None:
+            value = (now.timestamp() - value / 1_000_000) / 3600
+        passed = False
+        if k not in errors:
+            try:
+                passed = bool(r.spec.holds(value, r.limit))
+            except Exception as e:
+                errors[k] = _message(e)
+        outcomes.append(Outcome(r, passed, value, errors.get(k)))
+    return Report(suite, now, tuple(outcomes))
+
+
+def gate(df: DataFrame, suite: Suite, clock: Callable[[], datetime] | None = None) -> Report:
+    """evaluate(), raising GateClosed at a blocking failure."""
+    report = evaluate(df, suite, clock)
+    if report.tally()["blocking"]:
+        raise GateClosed(report)
+    return report
+
+
+def explain(o: Outcome) -> str:
+    """An outcome in a sentence."""
+    r = o.rule
+    what = f"{r.kind} on {r.column}" if r.column else r.kind
+    if o.error:
+        return f"{r.name}: {what} couldn't be evaluated: {o.error}"
+    limit = f", {r.spec.parameter} = {r.limit}" if r.spec.parameter else ""
+    return f"{r.name}: {what} {'holds' if o.passed else 'fails'} ({r.spec.measured} = {o.measured}{limit})"

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..operators.aggregates import profile
-from .model import CheckResult, QualityRule, QualitySuite, Severity
+from .rules import Suite, rule
 
 
-def suggest(df: DataFrame, name: str, urn: str = "", *, few: int = 20, max_age_hours: float = 24.0) -> QualitySuite:
+def suggest(df: DataFrame, name: str, urn: str = "", *, few: int = 20, max_age_hours: float = 24.0) -> Suite:
     """A suite that the present data meets (freshness apart): what is never null, unique, bounded, or one of a few values."""
-    suite = QualitySuite(name, urn, description="suggested from a profile")
+    rules = []
     rows = {r["column"]: r for r in profile(df).collect()}  # one row per column
     n = next((r.n for r in rows.values()), 0)
     if n:
-        suite.add_rule(QualityRule.row_count_min(1))
+        rules.append(rule("row_count_min", limit=1))
     exact = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{k}") for k, c in enumerate(rows)]).first() if rows else []
     low = [c for (c, r), d in zip(rows.items(), exact, strict=True) if isinstance(df.schema[c].dataType, StringType) and 0 < d <= few and d < n]
     sets = df.agg(*[F.array_sort(F.collect_set(F.col(f"`{c}`"))).alias(c) for c in low]).first() if low else None
@@ -25,19 +25,19 @@ def suggest(df: DataFrame, name: str, urn: str = "", *, few: int = 20, max_age_h
         if not n:
             break
         if r.nulls == 0:
-            suite.add_rule(QualityRule.not_null(c))
+            rules.append(rule("not_null", c))
         elif r.null_fraction < 0.5:
-            suite.add_rule(QualityRule.completeness(c, float(int((1 - r.null_fraction) * 100)), Severity.WARNING))
+            rules.append(rule("completeness", c, float(int((1 - r.null_fraction) * 100)), blocking=False))
         if r.nulls == 0 and d == n and n > 1:
-            suite.add_rule(QualityRule.unique(c))
+            rules.append(rule("unique", c))
         if isinstance(kind, NumericType) and r.min is not None:
-            suite.add_rule(QualityRule.min_value(c, float(r.min), Severity.WARNING))
-            suite.add_rule(QualityRule.max_value(c, float(r.max), Severity.WARNING))
+            rules.append(rule("min", c, float(r.min), blocking=False))
+            rules.append(rule("max", c, float(r.max), blocking=False))
         if c in low:
-            suite.add_rule(QualityRule.accepted_values(c, list(sets[c]), Severity.WARNING))
+            rules.append(rule("accepted_values", c, list(sets[c]), blocking=False))
         if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
-            suite.add_rule(QualityRule.freshness(c, max_age_hours, Severity.WARNING))
-    return suite
+            rules.append(rule("freshness", c, max_age_hours, blocking=False))
+    return Suite(name, urn, tuple(rules), "suggested from a profile")
 
 
 def anomalies(df: DataFrame, z: float = 3.0, nulls: float = 0.5) -> DataFrame:
@@ -53,12 +53,3 @@ def anomalies(df: DataFrame, z: float = 3.0, nulls: float = 0.5) -> DataFrame:
             found.append((r["column"], "constant", 1.0))
     found += [(r["column"], "outliers", float(o)) for r, o in zip(numbers, far, strict=True) if o]
     return spark.createDataFrame(found, "column string, kind string, value double")
-
-
-def explain(result: CheckResult) -> str:
-    """A result in a sentence."""
-    what = f"{result.rule_type.value} on {result.column}" if result.column else result.rule_type.value
-    if result.error_message:
-        return f"{result.rule_name}: {what} couldn't be evaluated: {result.error_message}"
-    facts = ", ".join(f"{k} = {v}" for k, v in result.metrics.items())
-    return f"{result.rule_name}: {what} {'holds' if result.passed else 'fails'} ({facts})"

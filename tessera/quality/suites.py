@@ -1,4 +1,4 @@
-"""Suites and results as files."""
+"""Suites and reports as YAML or JSON files. The keys of the files are fixed values: suite, name, dataset_urn, description, rules, type, column, severity, params."""
 
 from __future__ import annotations
 
@@ -6,74 +6,68 @@ import json
 from pathlib import Path
 from typing import Any
 
-from .model import QualityRule, QualitySuite, SuiteResult
+from .engine import Report
+from .rules import KINDS, Suite, rule
 
-_KEYS = ("name", "rule_type", "type", "column", "severity", "params", "dataset_urn")
+_SUFFIXES = (".yaml", ".yml", ".json")
 
 
-def suite_to_dict(suite: QualitySuite) -> dict[str, Any]:
+def plain(suite: Suite) -> dict[str, Any]:
+    """A suite as its file holds it."""
     rules = []
     for r in suite.rules:
-        d: dict[str, Any] = {"name": r.name, "type": r.rule_type.value, "severity": r.severity.value}
-        if r.column is not None:
-            d["column"] = r.column
-        if r.params:
-            d["params"] = dict(r.params)
-        rules.append(d)
-    return {"suite": {"name": suite.name, "dataset_urn": suite.dataset_urn, "description": suite.description, "rules": rules}}
-
-
-def suite_from_dict(data: dict[str, Any]) -> QualitySuite:
-    """With or without the outer `suite`; parameters stand under `params` or beside the other keys."""
-    s = data.get("suite", data)
-    urn = s.get("dataset_urn", "")
-    rules = []
-    for r in s.get("rules", []):
-        kind = r.get("type", r.get("rule_type"))
-        params = {**{k: v for k, v in r.items() if k not in _KEYS}, **r.get("params", {})}
-        rules.append(QualityRule(r.get("name") or f"{kind}_{r.get('column', '')}", kind, r.get("column"), r.get("severity", "blocking"), params, r.get("dataset_urn", urn)))
-    return QualitySuite(s["name"], urn, rules, s.get("description", ""))
+        entry = {"name": r.name, "type": r.kind, "severity": "blocking" if r.blocking else "warning", "column": r.column, "params": {r.spec.parameter: r.limit} if r.spec.parameter else None}
+        rules.append({k: v for k, v in entry.items() if v is not None})
+    return {"suite": {"name": suite.name, "dataset_urn": suite.dataset, "description": suite.description, "rules": rules}}
 
 
-def suite_to_json_str(suite: QualitySuite) -> str:
-    return json.dumps(suite_to_dict(suite), indent=2, ensure_ascii=False)
+def of_plain(data: dict[str, Any]) -> Suite:
+    """With or without the outer `suite`; the type may be called rule_type, and a parameter may stand under params or beside the other keys."""
+    body = data.get("suite", data)
+    rules = []
+    for entry in body.get("rules") or []:
+        kind = entry.get("type") or entry["rule_type"]
+        key = KINDS[kind].parameter
+        limit = (entry.get("params") or {}).get(key, entry.get(key)) if key else None
+        rules.append(rule(kind, entry.get("column"), limit, name=entry.get("name"), blocking=entry.get("severity", "blocking") == "blocking", dataset=entry.get("dataset_urn", "")))
+    return Suite(body["name"], body.get("dataset_urn", ""), tuple(rules), body.get("description", ""))
 
 
-def suite_to_yaml_str(suite: QualitySuite) -> str:
+def _text(data: Any, path: Path) -> str:
+    if path.suffix == ".json":
+        return json.dumps(data, indent=2, ensure_ascii=False, default=str)
     import yaml
 
-    return yaml.safe_dump(suite_to_dict(suite), sort_keys=False, allow_unicode=True)
-
+    return yaml.safe_dump(data, sort_keys=False, allow_unicode=True)
 
-def _kind(path: Path) -> str:
-    kind = {".yaml": "yaml", ".yml": "yaml", ".json": "json"}.get(path.suffix)
-    if kind is None:
-        raise ValueError(f"a suite is a .yaml, .yml or .json file, not {path.suffix}")
-    return kind
 
-
-def save_suite(suite: QualitySuite, path: str | Path) -> None:
+def _checked(path: str | Path) -> Path:
     path = Path(path)
-    path.write_text(suite_to_yaml_str(suite) if _kind(path) == "yaml" else suite_to_json_str(suite), encoding="utf-8")
+    if path.suffix not in _SUFFIXES:
+        raise ValueError(f"{path.name}: not one of {', '.join(_SUFFIXES)}")
+    return path
 
 
-def load_suite(path: str | Path) -> QualitySuite:
-    path = Path(path)
-    kind, text = _kind(path), path.read_text(encoding="utf-8")
-    if kind == "json":
-        return suite_from_dict(json.loads(text))
-    import yaml
-
-    return suite_from_dict(yaml.safe_load(text))
+def save(what: Suite | Report, path: str | Path) -> None:
+    """A suite, or a report with its tally."""
+    path = _checked(path)
+    data: dict[str, Any]
+    if isinstance(what, Suite):
+        data = plain(what)
+    else:
+        data = {"suite": what.suite.name, "dataset_urn": what.suite.dataset, "at": what.at.isoformat(), **what.tally()}
+        data["results"] = [{"rule": o.rule.name, "type": o.rule.kind, "column": o.rule.column, "passed": o.passed, "measured": o.measured if isinstance(o.measured, (int, float, str, bool)) else None if o.measured is None else str(o.measured), "error": o.error} for o in what.outcomes]
+    path.write_text(_text(data, path), encoding="utf-8")
 
 
-def load_suites(path: str | Path) -> list[QualitySuite]:
-    """A file's suite, or those of all files in a folder."""
+def load(path: str | Path) -> list[Suite]:
+    """A file's suite, or those of all files in a folder by name."""
     path = Path(path)
-    return [load_suite(f) for f in sorted(path.iterdir()) if f.suffix in (".yaml", ".yml", ".json")] if path.is_dir() else [load_suite(path)]
-
+    if path.is_dir():
+        return [s for f in sorted(path.iterdir()) if f.suffix in _SUFFIXES for s in load(f)]
+    text = _checked(path).read_text(encoding="utf-8")
+    if path.suffix == ".json":
+        return [of_plain(json.loads(text))]
+    import yaml
 
-def save_results(result: SuiteResult, path: str | Path) -> None:
-    rows = [{"rule": r.rule_name, "type": r.rule_type.value, "column": r.column, "passed": r.passed, "severity": r.severity.value, "metrics": r.metrics, "error": r.error_message} for r in result.results]
-    head = {"suite": result.suite_name, "dataset_urn": result.dataset_urn, "quality_score": result.quality_score, "passed": result.passed, "failed": result.failed, "blocking_failures": result.blocking_failures, "warnings": result.warnings}
-    Path(path).write_text(json.dumps({**head, "results": rows}, indent=2, default=str), encoding="utf-8")
+    return [of_plain(yaml.safe_load(text))]

@@ -5,7 +5,6 @@ Floating aggregates are rounded on both sides, as sums depend on the order of ro
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime
 
@@ -13,15 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.predicates import filter_rows
+from .functions.scalars import date_trunc
 from .operators import aggregates as A
 from .operators import analytics as X
 from .operators import governance as G
 from .operators import relational as R
 from .operators import vector_search as V
 from .operators import windows as W
-from .quality.engine import evaluate, results_frame
-from .quality.model import QualityRule, QualitySuite
-from .sources.sinks import apply_changes
+from .quality.engine import evaluate
+from .quality.rules import Suite, rule
+from .session import scratch
+from .sources.sinks import KeyedTable
 from .streaming import cdc
 from .streaming import windows as S
 
@@ -157,10 +158,11 @@ def merge_upsert(t):
     return R.merge(list(_halves(t)), ["k"])
 
 
-@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
+@query(f"SELECT CASE WHEN o_orderdate >= TIMESTAMP '{SPLIT}' AND o_orderkey % 7 <> 0 THEN 'recent' ELSE 'history' END AS source, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def hybrid_time_split(t):
-    cols = ["o_orderdate", "o_orderstatus"]
-    return R.hybrid(t.orders.select(*cols), t.orders.select(*cols), "o_orderdate", F.lit(SPLIT).cast("timestamp_ntz")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    rows = t.orders.select("o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("at"))  # every seventh without a time
+    recent, history = (rows.withColumn("source", F.lit(x)) for x in ("recent", "history"))
+    return R.hybrid(recent, history, "at", F.lit(SPLIT).cast("timestamp_ntz")).groupBy("source", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_HALVES} SELECT k FROM early INTERSECT SELECT k FROM late")
@@ -280,9 +282,9 @@ def win_zscore(t):
     return W.z_scores(t.events, "user_id", "ts", "value").select("user_id", "n", r("z").alias("z"), "alert")
 
 
-@query("WITH x AS (SELECT user_id, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), a AS (SELECT user_id, n, avg(y) FILTER (WHERE i <= n // 2) AS a, avg(y) FILTER (WHERE i > n // 2) AS b FROM x GROUP BY ALL) SELECT user_id, n, CASE WHEN n < 3 THEN 'stable' WHEN b - a > 0.1 * a THEN 'increasing' WHEN b - a < -0.1 * a THEN 'decreasing' ELSE 'stable' END AS trend FROM a")
+@query("WITH x AS (SELECT user_id, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i, count(*) OVER (PARTITION BY user_id) AS n, epoch_us(ts) / 1000000 AS s FROM events), a AS (SELECT user_id, n, avg(y) FILTER (WHERE i <= n // 2) AS a, avg(y) FILTER (WHERE i > n // 2) AS b, avg(y) AS my, avg(s - 1704067200) AS ms, max(s) - 1704067200 AS last, max_by(y, i) AS ly, covar_pop(y, s - 1704067200) / nullif(var_pop(s - 1704067200), 0) AS slope FROM x GROUP BY ALL) SELECT user_id, n, round(CAST(greatest(0, floor(coalesce(my + slope * (last + 300 - ms), ly))) AS DOUBLE) / 10) AS predicted_tens, CASE WHEN n < 3 THEN 'stable' WHEN b - a > 0.1 * a THEN 'increasing' WHEN b - a < -0.1 * a THEN 'decreasing' ELSE 'stable' END AS trend FROM a")
 def win_trend(t):
-    return W.trend(t.events, "user_id", "ts", "value").select("user_id", "n", "trend")
+    return W.trend(t.events, "user_id", "ts", "value").select("user_id", "n", F.round(F.col("predicted") / 10).alias("predicted_tens"), "trend")
 
 
 @query("WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events) SELECT event_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM g")
@@ -290,14 +292,14 @@ def win_session_gap(t):
     return W.sessions(t.events, "user_id", "ts", 1800).select("event_id", "session")
 
 
-@query("WITH x AS (SELECT event_type AS first, CASE WHEN epoch_us(lead(ts) OVER w) - epoch_us(ts) <= 3600000000 THEN lead(event_type) OVER w END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)), c AS (SELECT first, n AS \"then\", count(*) AS n FROM x WHERE n IS NOT NULL GROUP BY ALL), tot AS (SELECT first, count(*) AS total FROM x GROUP BY ALL) SELECT first, \"then\", n, round(n / total, 6) AS probability FROM c JOIN tot USING (first) WHERE n >= 3 AND n / total >= 0.01")
+@query("WITH x AS (SELECT user_id, epoch_us(ts) AS t, event_type AS e FROM events), c AS (SELECT a.e AS first, b.e AS \"then\", count(*) AS n FROM x a JOIN x b ON a.user_id = b.user_id AND a.e <> b.e AND b.t - a.t <= 7200000000 AND (b.t > a.t OR b.t = a.t AND b.e > a.e) GROUP BY ALL), tot AS (SELECT e AS first, count(*) AS total FROM x GROUP BY ALL) SELECT first, \"then\", n, round(n / total, 6) AS probability FROM c JOIN tot USING (first) WHERE n >= 3 AND n / total >= 0.01")
 def sequence_pairs(t):
-    return W.sequences(t.events, "user_id", "ts", "event_type", 3600, 0.01).select("first", "then", "n", r("probability", 6).alias("probability"))
+    return W.sequences(t.events, "user_id", "ts", "event_type", 7200, 0.01).select("first", "then", "n", r("probability", 6).alias("probability"))
 
 
-@query("WITH b AS (SELECT event_type, hour(ts) AS hour, dayofweek(ts) + 1 AS weekday, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, hour, weekday) AS rn, sum(n) OVER (PARTITION BY event_type) AS total FROM b) SELECT event_type, CAST(hour AS INTEGER) AS hour, CAST(weekday AS INTEGER) AS weekday, n, round(n / total, 6) AS frequency FROM k WHERE rn = 1")
+@query("WITH b AS (SELECT event_type, hour(ts) AS hour, dayofweek(ts) + 1 AS weekday, count(*) AS n, count(DISTINCT yearweek(ts)) AS weeks FROM events GROUP BY ALL), w AS (SELECT event_type, count(DISTINCT yearweek(ts)) AS all_weeks FROM events GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, hour, weekday) AS rn, sum(n) OVER (PARTITION BY event_type) AS total FROM b) SELECT event_type, CAST(hour AS INTEGER) AS hour, CAST(weekday AS INTEGER) AS weekday, n, round(n / total, 6) AS frequency, round(weeks / all_weeks, 6) AS regularity FROM k JOIN w USING (event_type) WHERE rn = 1")
 def seasonality(t):
-    return W.seasonality(t.events, "event_type", "ts").select("event_type", "hour", "weekday", "n", r("frequency", 6).alias("frequency"))
+    return W.seasonality(t.events, "event_type", "ts").select("event_type", "hour", "weekday", "n", r("frequency", 6).alias("frequency"), r("regularity", 6).alias("regularity"))
 
 
 # Sort and limit
@@ -323,7 +325,7 @@ def sort_nulls(t):
 
 @query("SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY ALL")
 def fn_date_trunc(t):
-    return t.orders.groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
+    return t.orders.groupBy(date_trunc("MM", F.col("o_orderdate")).cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_orderdate + INTERVAL 7 DAY AS due, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders")
@@ -385,28 +387,28 @@ def vec_spread(t):
 
 # Data quality: each rule's verdict and the score of the suite
 
-_Y = QualityRule
+_Y = rule
 _RULES = [
-    (_Y.not_null("o_custkey"), "count(*) FILTER (WHERE o_custkey IS NULL) = 0"),
-    (_Y.unique("o_orderkey"), "count(*) = count(DISTINCT o_orderkey)"),
-    (_Y.unique("o_custkey"), "count(*) = count(DISTINCT o_custkey)"),
-    (_Y.min_value("o_totalprice", 0.0), "min(o_totalprice) >= 0"),
-    (_Y.max_value("o_totalprice", 1000.0), "max(o_totalprice) <= 1000"),
-    (_Y.min_length("o_orderpriority", 5), "count(*) FILTER (WHERE length(o_orderpriority) < 5) = 0"),
-    (_Y.max_length("o_orderpriority", 6), "count(*) FILTER (WHERE length(o_orderpriority) > 6) = 0"),
-    (_Y.regex("o_orderpriority", "[1-5]-[A-Z]"), "count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-5]-[A-Z]')) = 0"),
-    (_Y.accepted_values("o_orderstatus", ["O", "F"]), "count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) = 0"),
-    (_Y.row_count_min(10), "count(*) >= 10"),
-    (_Y.row_count_max(10), "count(*) <= 10"),
-    (_Y.freshness("o_orderdate", 24.0), "(epoch(TIMESTAMP '2024-02-01') - epoch(max(o_orderdate))) / 3600 <= 24"),
-    (_Y.completeness("o_orderstatus", 99.0), "count(o_orderstatus) * 100.0 / count(*) >= 99"),
-    (_Y.custom_sql("few_p", "SELECT count(*) FILTER (WHERE o_orderstatus = 'P') < count(*) / 2 FROM data"), "count(*) FILTER (WHERE o_orderstatus = 'P') < count(*) / 2"),
+    (_Y("not_null", "o_custkey"), "count(*) FILTER (WHERE o_custkey IS NULL) = 0"),
+    (_Y("unique", "o_orderkey"), "count(*) = count(DISTINCT o_orderkey)"),
+    (_Y("unique", "o_custkey"), "count(*) = count(DISTINCT o_custkey)"),
+    (_Y("min", "o_totalprice", 0.0), "min(o_totalprice) >= 0"),
+    (_Y("max", "o_totalprice", 1000.0), "max(o_totalprice) <= 1000"),
+    (_Y("min_length", "o_orderpriority", 5), "count(*) FILTER (WHERE length(o_orderpriority) < 5) = 0"),
+    (_Y("max_length", "o_orderpriority", 6), "count(*) FILTER (WHERE length(o_orderpriority) > 6) = 0"),
+    (_Y("regex", "o_orderpriority", "[1-5]-[A-Z]"), "count(*) FILTER (WHERE NOT regexp_matches(o_orderpriority, '^[1-5]-[A-Z]')) = 0"),
+    (_Y("accepted_values", "o_orderstatus", ["O", "F"]), "count(*) FILTER (WHERE o_orderstatus NOT IN ('O', 'F')) = 0"),
+    (_Y("row_count_min", None, 10), "count(*) >= 10"),
+    (_Y("row_count_max", None, 10), "count(*) <= 10"),
+    (_Y("freshness", "o_orderdate", 24.0), "(epoch(TIMESTAMP '2024-02-01') - epoch(max(o_orderdate))) / 3600 <= 24"),
+    (_Y("completeness", "o_orderstatus", 99.0), "count(o_orderstatus) * 100.0 / count(*) >= 99"),
+    (_Y("custom_sql", None, "SELECT count(*) FILTER (WHERE o_orderstatus = 'P') < count(*) / 2 FROM data", name="few_p"), "count(*) FILTER (WHERE o_orderstatus = 'P') < count(*) / 2"),
 ]
-_SUITE = QualitySuite("orders", "orders", [x for x, _ in _RULES])
+_SUITE = Suite("orders", "orders", tuple(x for x, _ in _RULES))
 
 
 def _checked(t) -> DataFrame:
-    return results_frame(t.spark, evaluate(t.orders, _SUITE, lambda: CLOCK)).select("rule", "passed")
+    return evaluate(t.orders, _SUITE, lambda: CLOCK).frame(t.spark).select("rule", "passed")
 
 
 _VERDICTS = " UNION ALL ".join(f"SELECT '{rule.name}' AS rule, {sql} AS passed FROM orders" for rule, sql in _RULES)
@@ -426,15 +428,18 @@ for _rule, _s in _RULES:
 
     @query(f"SELECT '{_rule.name}' AS rule, {_s} AS passed FROM orders", f"dq_{_rule.name}")
     def _dq(t, rule=_rule):
-        return results_frame(t.spark, evaluate(t.orders, QualitySuite("one", "orders", [rule]), lambda: CLOCK)).select("rule", "passed")
+        return evaluate(t.orders, Suite("one", "orders", (rule,)), lambda: CLOCK).frame(t.spark).select("rule", "passed")
 
 
 # Profiles, statistics and logs
 
 
-@query("SELECT 'o_totalprice' AS \"column\", count(*) AS n, count(*) - count(o_totalprice) AS nulls, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS stddev FROM orders UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey), round(avg(o_custkey), 4), round(stddev_samp(o_custkey), 4) FROM orders")
+@query("SELECT 'o_totalprice' AS \"column\", count(*) AS n, count(*) - count(o_totalprice) AS nulls, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS stddev, 0.0 AS null_fraction, round(min(o_totalprice), 4) AS min, round(max(o_totalprice), 4) AS max, true AS ndv_near FROM orders UNION ALL SELECT 'quality', count(*), count(*) - count(quality), round(avg(quality), 4), round(stddev_samp(quality), 4), round(1 - count(quality) / count(*), 6), min(quality), max(quality), true FROM documents LEFT JOIN labels USING (doc_id)")
 def col_profile(t):
-    return A.profile(t.orders.select("o_totalprice", "o_custkey")).select("column", "n", "nulls", r("mean").alias("mean"), r("stddev").alias("stddev"))
+    exact = {"o_totalprice": t.orders.agg(F.count_distinct("o_totalprice")).first()[0], "quality": t.labels.agg(F.count_distinct("quality")).first()[0]}
+    rows = A.profile(t.orders.select("o_totalprice")).unionByName(A.profile(t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("quality")))
+    near = F.when(F.col("column") == "quality", F.col("ndv") == exact["quality"]).otherwise(F.abs(F.col("ndv") - exact["o_totalprice"]) <= 0.05 * exact["o_totalprice"])  # a sketch of 1 percent
+    return rows.select("column", "n", "nulls", r("mean").alias("mean"), r("stddev").alias("stddev"), r("null_fraction", 6).alias("null_fraction"), r(F.col("min").cast("double")).alias("min"), r(F.col("max").cast("double")).alias("max"), near.alias("ndv_near"))
 
 
 @query("SELECT event_type AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS frequency FROM events GROUP BY event_type ORDER BY n DESC, value LIMIT 3")
@@ -480,9 +485,10 @@ def budget_monthly(t):
     return A.budget_status(usage, t.nation.select(F.col("n_nationkey").alias("k"), F.lit(1e6).alias("budget")), "k", "o_orderdate", "o_totalprice").select("k", "budget", F.col("month").cast("timestamp_ntz").alias("month"), r("spent", 2).alias("spent"), r("used", 6).alias("used"))
 
 
-@query("WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, user_id AS tenant, sum(value + 10.0 * 1.0) AS cost FROM events GROUP BY ALL) SELECT bucket, tenant, round(cost, 4) AS cost, round(cost / sum(cost) OVER (PARTITION BY bucket), 6) AS share FROM c")
+@query("WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, user_id AS tenant, sum(value + 10.0 * (event_id % 50)) AS cost FROM events GROUP BY ALL), s AS (SELECT bucket, tenant, cost, coalesce(cost / nullif(sum(cost) OVER (PARTITION BY bucket), 0), 0) AS share FROM c) SELECT bucket, tenant, round(cost, 4) AS cost, round(share, 6) AS share, share > 0.4 AS noisy, CASE WHEN share > 0.4 THEN round(greatest(0.0, 0.9 - 0.8 * (share - 0.4) / 0.6), 3) ELSE 1.0 END AS throttle FROM s")
 def noisy_share(t):
-    return A.noisy_share(t.events.withColumn("mem", F.lit(1.0)), "user_id", "ts", "value", "mem", bucket="1 hour").select("bucket", "tenant", r("cost").alias("cost"), r("share", 6).alias("share"))
+    out = A.noisy_share(t.events.withColumn("mem", F.col("event_id") % 50), "user_id", "ts", "value", "mem", bucket="1 hour")
+    return out.select("bucket", "tenant", r("cost").alias("cost"), r("share", 6).alias("share"), "noisy", r("throttle", 3).alias("throttle"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 10")
@@ -490,9 +496,10 @@ def hot_keys(t):
     return A.hot_keys(t.events, ["user_id", "event_type"], 10)
 
 
-@query("SELECT event_type, count(*) AS n, sum(greatest(0, value - 10)) > 0 AS any_regret, round(sum(greatest(0.0, value - 10)), 3) AS cumulative_regret FROM events GROUP BY ALL")
+@query("SELECT event_type, count(*) AS n, sum(greatest(0, value - 10)) > 0 AS any_regret, round(sum(greatest(0.0, value - 10)), 3) AS cumulative_regret, round(avg(greatest(0.0, value - 10)), 4) AS average_regret, round(greatest(0.01, exp(-0.00001 * sum(greatest(0.0, value - 10)))), 6) AS weight FROM events GROUP BY ALL")
 def regret(t):
-    return X.regret_weights(t.events.withColumn("p", F.lit(10.0)), "event_type", ["ts"], "p", "value").select("event_type", "n", (F.col("cumulative_regret") > 0).alias("any_regret"), r("cumulative_regret", 3).alias("cumulative_regret"))
+    out = X.regret_weights(t.events.withColumn("p", F.lit(10.0)), "event_type", ["ts"], "p", "value", rate=0.00001)
+    return out.select("event_type", "n", (F.col("cumulative_regret") > 0).alias("any_regret"), r("cumulative_regret", 3).alias("cumulative_regret"), r("average_regret").alias("average_regret"), r("weight", 6).alias("weight"))
 
 
 # Governance
@@ -520,7 +527,7 @@ def mask_hash(t):
 def _streamed(t, name: str, mode: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of a streaming query after it has read the whole table; state and results lie in the shared folder."""
     spark = t.spark
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera-')}/stream-{name}-{datetime.now().timestamp():.6f}"
+    root = scratch(spark, f"stream-{name}")
     source = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))  # event times need a zone
 
     def keep(batch: DataFrame, n: int) -> None:
@@ -561,13 +568,22 @@ def stream_dedup(t):
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'")
 def stream_upsert_latest(t):
     spark = t.spark
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tessera-')}/upsert-{datetime.now().timestamp():.6f}"
+    root = scratch(spark, "upsert")
     source = spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    changes = source.select("user_id", "event_id", "event_type", "ts", F.when(F.col("event_type") == "error", "d").otherwise("u").alias("__op"))
-    S.run_available(changes, f"{root}/state", each=lambda b, n: apply_changes(b, f"{root}/out", ["user_id"], order=["ts", "event_id"], drop=["ts"]))
-    return spark.read.parquet(f"{root}/out")
+    changes = source.select("user_id", "event_id", "event_type", "ts", F.when(F.col("event_type") == "error", "d").otherwise("u").alias("__op"), (F.col("event_id") % 3).alias("late"))
+    table = KeyedTable(spark, f"{root}/out", ["user_id"], ["ts", "event_id"], parts=8)
+
+    def merge(batch: DataFrame, n: int) -> None:  # in three parts, without regard to time: late events are among them
+        for k in range(3):
+            table.merge(batch.where(F.col("late") == k).select("user_id", "event_type", "ts", F.col("event_id"), "__op", F.col("event_id").alias("last_event")))
+
+    S.run_available(changes, f"{root}/state", each=merge)
+    return table.read().select("user_id", F.col("last_event").alias("event_id"), "event_type")
 
 
 @query("WITH s AS (SELECT user_id AS table_name, CAST(value AS BIGINT) * 20 AS l FROM events), h AS (SELECT table_name, l, CASE WHEN l <= 300 THEN 'healthy' WHEN l <= 600 THEN 'warning' WHEN l <= 1800 THEN 'critical' ELSE 'stalled' END AS health FROM s) SELECT health, count(DISTINCT table_name) AS tables, max(l) AS max_lag FROM h GROUP BY ALL".replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)"))
 def cdc_health(t):
     return cdc.health_rollup(t.events.select(F.col("user_id").alias("table_name"), (F.floor("value") * 20).alias("lag_seconds")))
+
+
+from . import surface as _  # noqa: E402, F401  registers more queries

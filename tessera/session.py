@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +34,13 @@ def local(cores: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     return build("tessera-local", f"local[{n}]", **{"spark__sql__shuffle__partitions": str(n), "spark__ui__enabled": "false", **conf})
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that driver and executors share: spark.checkpoint.dir. Unset, a folder of our own in local mode, an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

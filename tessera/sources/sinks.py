@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import latest, upsert
-from .readers import _fs, exists
+from .readers import _fs, exists, list_paths, read_bytes
 
 
 def write_table(df: DataFrame, name: str, *, format: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, bucket_by: tuple[int, list[str]] | None = None) -> None:
@@ -67,6 +69,65 @@ def apply_changes(changes: DataFrame, path: str, keys: list[str], *, op_col: str
     swap(base.unionByName(rows, allowMissingColumns=True), path)
 
 
+class KeyedTable:
+    """A table in a folder that batches of change events are merged into, by key and event order.
+
+    Rows are filed in `parts` by a hash of their key; a batch rewrites only the parts it touches. A manifest lists each
+    part's folder; a new one is written for each batch and renamed into place, so readers see the state before or
+    after a batch, whole. Event order and deletions are kept with the rows, so that an event later than the batch that
+    merged a newer one of its key changes nothing. Folders that the last two manifests don't list are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], op_col: str = "__op", parts: int = 64):
+        self.spark, self.path, self.keys, self.order, self.op, self.parts = spark, path, keys, order, op_col, parts
+
+    def _manifests(self) -> list[str]:
+        return sorted(p for p in list_paths(self.spark, self.path) if "/manifest-" in p and p.endswith(".json")) if exists(self.spark, self.path) else []
+
+    def _listed(self, manifest: str) -> dict[str, str]:
+        return json.loads(read_bytes(self.spark, manifest))
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def merge(self, changes: DataFrame) -> None:
+        """Events c, u, r write and d deletes; the last of each key by `order` counts. Events without an operation are left out."""
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        fresh = latest(changes.where(F.col(self.op).isNotNull()), self.keys, self.order).withColumn("_part", part)
+        made = self._manifests()
+        now = self._listed(made[-1]) if made else {}
+        touched = [str(r[0]) for r in fresh.select("_part").distinct().collect()]  # at most `parts`
+        if not touched:
+            return
+        old = [now[k] for k in touched if k in now]
+        if old:
+            base = self._read(old).withColumn("_part", part)
+            fresh = latest(base.unionByName(fresh, allowMissingColumns=True), self.keys, self.order)
+        batch = f"data-{uuid.uuid4().hex}"
+        fresh.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{batch}")
+        now |= {k: f"{batch}/_part={k}" for k in touched}
+        fs, _ = _fs(self.spark, self.path)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        n = int(made[-1].rsplit("-", 1)[1].removesuffix(".json")) + 1 if made else 0
+        new = hadoop.Path(f"{self.path}/manifest-{n:09d}.json.new")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        if not fs.rename(new, hadoop.Path(f"{self.path}/manifest-{n:09d}.json")):
+            raise RuntimeError(f"another writer made manifest {n}")
+        kept = {f for m in self._manifests()[-2:] for f in self._listed(m).values()}
+        for folder in {f for m in made for f in self._listed(m).values()} - kept:
+            fs.delete(hadoop.Path(f"{self.path}/{folder}"), True)
+        for m in self._manifests()[:-2]:
+            fs.delete(hadoop.Path(m), False)
+
+    def read(self) -> DataFrame:
+        """The rows that are not deleted, without operation and order columns (but for keys)."""
+        made = self._manifests()
+        rows = self._read(sorted(self._listed(made[-1]).values()))
+        return rows.where(F.col(self.op) != "d").drop(self.op, *[c for c in self.order if c not in self.keys])
+
+
 def append_jdbc(df: DataFrame, url: str, table: str, **options: Any) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ..sources.sinks import apply_changes
+from ..sources.sinks import KeyedTable
 
 #: Fields of a change event besides the table's own.
 EVENT_FIELDS = [StructField("__op", StringType()), StructField("__source_ts_ms", LongType()), StructField("__source_scn", LongType()), StructField("__deleted", BooleanType())]
@@ -30,18 +30,17 @@ def parse(raw: DataFrame, table: StructType, value_col: str = "value") -> DataFr
 
 
 def merge_stream(events: DataFrame, path: str, keys: list[str], checkpoint: str, *, watermark: str = "5 minutes", every: str | None = "30 seconds", metrics_path: str | None = None) -> StreamingQuery:
-    """Keeps the folder in step with the events: per micro-batch, the last event of each key is written or deleted.
+    """Keeps a KeyedTable in the folder in step with the events: per micro-batch, the last event of each key counts.
 
-    every=None processes what is there and stops. Events later than the batch that merged a newer one of their key
-    overwrite it, as the folder keeps no event time; order the source by key to rule that out.
+    every=None processes what is there and stops. An event that comes after a newer one of its key changes nothing.
+    Read the rows with keyed(spark, path, keys).read().
     """
-    order = ["__source_ts_ms", "__source_scn"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.where(F.col("__op").isNotNull()).persist()
+        batch = batch.persist()
         try:
             if not batch.isEmpty():
-                apply_changes(batch, path, keys, order=order, drop=["__source_ts_ms", "__source_scn", "__deleted", "event_time", *[c for c in ("topic", "partition", "offset", "key", "timestamp", "timestampType") if c in batch.columns and c not in keys]])
+                keyed(batch.sparkSession, path, keys).merge(batch.drop("__deleted", "event_time", *[c for c in ("topic", "partition", "offset", "key", "timestamp", "timestampType") if c in batch.columns and c not in keys]))
                 if metrics_path:
                     lag(batch, batch_id).write.mode("append").parquet(metrics_path)
         finally:
@@ -51,6 +50,10 @@ def merge_stream(events: DataFrame, path: str, keys: list[str], checkpoint: str,
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def keyed(spark: SparkSession, path: str, keys: list[str]) -> KeyedTable:
+    return KeyedTable(spark, path, keys, ["__source_ts_ms", "__source_scn"])
+
+
 def lag(batch: DataFrame, batch_id: int, now: Column | None = None) -> DataFrame:
     """One row: events, last event time, lag in seconds, last offset where there is one."""
     now = F.current_timestamp() if now is None else now
