@@ -1,6 +1,8 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a neighbour graph, queries search it greedily.
 
-The graph starts from random groups. Each round joins every node's near and reverse neighbours: a node introduces
+The graph starts from the best pairs inside cells: a vector's cell is the random direction that it points to most (a few
+such digits for large tables), so near vectors often share one; STARTS such partitions are drawn, and a cell larger than
+GROUP is dealt to several groups. Each round joins every node's near and reverse neighbours: a node introduces
 its neighbours to each other, pairs that beat a neighbour's DEGREE-th best so far replace it, until the share of pairs that are new is below SETTLED. A query starts at its own
 node and, hop by hop, joins the best WIDTH nodes of its pool that it hasn't opened yet with their neighbours, keeping the POOL
 best, until a query has no node left to open; the best FINAL of the pool are then scored on the original vectors. Both phases work on unit
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import Stow, free_shuffles, table
 from .pivot_topk import usable
 
-DEGREE, SAMPLE, GROUP, STARTS, OFFERS = 32, 16, 96, 3, 6
-POOL, WIDTH, FINAL = 320, 32, 48
+DEGREE, SAMPLE, GROUP, STARTS, OFFERS = 32, 16, 2048, 10, 6
+#: Rows of a cell, about; directions of a digit, at most; pairs that a vector gives in a cell.
+CELL, DIRECTIONS, FIRST = 1024, 64, 12
+POOL, WIDTH, FINAL = 384, 96, 48
 #: The graph is built until a round changes less than this share of its pairs.
 SETTLED = 0.01
 
@@ -54,14 +58,35 @@ def _pairs(v: list, u: list, s: list) -> pa.Table:
     return pa.table({"v": cat(v, np.int64), "u": cat(u, np.int64), "s": cat(s, np.float32)})
 
 
+def _cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector with its cell in each of STARTS partitions into about g cells."""
+    for batch in it:
+        dims, g = batch["dim"].to_numpy(), batch["g"].to_numpy()
+        for dim in np.unique(dims):
+            part = batch.filter(pa.array(dims == dim))
+            x, n = _units(part["u"]), int(g[dims == dim][0])
+            digits = max(1, int(np.ceil(np.log(n) / np.log(DIRECTIONS))))
+            width = max(1, int(np.ceil(n ** (1 / digits))))
+            for t in range(STARTS):
+                rng, cell = np.random.default_rng([t, int(dim)]), np.zeros(len(x), np.int64)
+                for _ in range(digits):
+                    cell = cell * width + (x @ rng.normal(size=(int(dim), width)).astype(np.float32)).argmax(1)
+                yield pa.RecordBatch.from_arrays([part["id"], part["u"], part["dim"], pa.array(np.full(len(x), t, np.int32)), pa.array(cell)], names=["id", "u", "dim", "t", "cell"])
+
+
 def _start(key, t):
-    """Each node's best in a random group."""
+    """Each vector's best in its group."""
     ids, x = t["id"].to_numpy(), _units(t["u"])
-    s = x @ x.T
-    np.fill_diagonal(s, -9)
-    n = min(DEGREE // 2, len(ids) - 1)
-    at = np.argpartition(-s, max(0, n - 1), 1)[:, :n]
-    return _pairs([np.repeat(ids, n)], [ids[at].ravel()], [np.take_along_axis(s, at, 1).ravel()])
+    n = min(FIRST, len(ids) - 1)
+    v, u, best = [], [], []
+    for lo in range(0, len(ids) if n > 0 else 0, 512):
+        s = x[lo : lo + 512] @ x.T
+        s[np.arange(len(s)), lo + np.arange(len(s))] = -9
+        at = np.argpartition(-s, n - 1, 1)[:, :n]
+        v.append(np.repeat(ids[lo : lo + 512], n))
+        u.append(ids[at].ravel())
+        best.append(np.take_along_axis(s, at, 1).ravel())
+    return _pairs(v, u, best)
 
 
 def _introduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +121,14 @@ def _graph(pairs: DataFrame) -> DataFrame:
 
 def build(nodes: DataFrame, stow: Stow, rounds: int | None = None) -> DataFrame:
     """The graph (v, u, s, new, r) of nodes (id, dim, u); rounds: at most so many, None as many as it takes to settle."""
-    groups = nodes.groupBy("dim").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("g"))
-    dealt = nodes.join(F.broadcast(groups), "dim").withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(STARTS)])))
-    dealt = dealt.select("id", "u", "dim", "t", F.pmod(F.xxhash64("id", "t"), "g").alias("k"))
-    g = stow.put(_graph(dealt.groupBy("dim", "t", "k").applyInArrow(_start, "v long, u long, s float").withColumn("new", F.lit(True))), "graph0")
+    by_dim = nodes.groupBy("dim").agg(F.ceil(F.count("*") / CELL).cast("int").alias("g"))  # a row for each length of vectors
+    dealt = nodes.join(F.broadcast(by_dim), "dim").select("id", "u", "dim", "g").mapInArrow(_cells, "id long, u binary, dim int, t int, cell long")
+    large = dealt.groupBy("dim", "t", "cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    large = stow.put(large, "large")
+    large = F.broadcast(large) if large.limit(100_001).count() <= 100_000 else large
+    dealt = dealt.join(large, ["dim", "t", "cell"], "left").withColumn("k", F.pmod(F.xxhash64("id", "t"), F.coalesce("parts", F.lit(1))))
+    g = stow.put(_graph(dealt.groupBy("dim", "t", "cell", "k").applyInArrow(_start, "v long, u long, s float").withColumn("new", F.lit(True))), "graph0")
+    free_shuffles(nodes.sparkSession)
     # scores only rise, so the rounds come to an end
     k, changed = 0, 1.0
     while changed >= SETTLED and (rounds is None or k < rounds):
