@@ -127,16 +127,19 @@ def _second(shared, groups: int, parts: int):
             none = pa.nulls(rows.num_rows, pa.binary())
             # a mark only passes through a bucket: any will do
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(rows["part"].to_numpy() % groups, pa.int32()), "part": rows["part"].combine_chunks(), "marks": rows["marks"].combine_chunks(), "ids": none, "places": none, "sizes": none, "blob": none})
-            by: dict[int, list] = {}
-            for ctx, (i, places, key) in best.items():
-                by.setdefault(int(mix(np.array([key], U))[0] % U(groups)) if groups > 1 else 0, []).extend((i, p, ctx) for p in places)
+            texts, (own, places, keys) = list(best), zip(*best.values(), strict=True) if best else ((), (), ())
             best.clear()
-            for b, x in by.items():
-                i, p, ctx = zip(*x, strict=True)
+            own, times, bucket = np.array(own, np.int64), np.array([len(x) for x in places], np.int64), mix(np.array(keys, U)) % U(groups)
+            order = np.argsort(bucket, kind="stable")
+            buckets, cut = np.unique(bucket[order], return_index=True)
+            for b, at in zip(buckets.tolist(), np.split(order, cut[1:]), strict=False):
+                mine = at.tolist()
+                size = np.array([len(texts[x]) for x in mine], np.uint8)
+                p = np.array([q for x in mine for q in places[x]], np.int64)
                 one = pa.nulls(1, pa.binary())
                 yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([b], pa.int32()), "part": pa.nulls(1, pa.int32()), "marks": one, "ids": pa.array([np.array(i, np.int64).tobytes()], pa.binary()),
-                    "places": pa.array([np.array(p, np.int64).tobytes()], pa.binary()), "sizes": pa.array([np.array([len(c) for c in ctx], np.uint8).tobytes()], pa.binary()), "blob": pa.array([b"".join(ctx)], pa.binary()),
+                    "bucket": pa.array([b], pa.int32()), "part": pa.nulls(1, pa.int32()), "marks": one, "ids": pa.array([np.repeat(own[at], times[at]).tobytes()], pa.binary()),
+                    "places": pa.array([p.tobytes()], pa.binary()), "sizes": pa.array([np.repeat(size, times[at]).tobytes()], pa.binary()), "blob": pa.array([b"".join([texts[x] * len(places[x]) for x in mine])], pa.binary()),
                 })
 
         for batch in it:
