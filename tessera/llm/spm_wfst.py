@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Cut-outs kept by each worker, in two generations.
-CACHE = 250_000
+CACHE = 500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -243,29 +244,28 @@ def shortest(s: str, pieces: Pieces, allowed: Canonical | Everything) -> list[tu
         if at[i] is None:
             continue
         cost, _, v, _ = at[i]
-        if done not in root.get(s[i], ()):  # B's arc
-            arcs = [(i + 1, None, pieces.fallback)]
-        else:
-            arcs = []
-        node, j = root, i
-        while j < n:
+        node, j = root.get(s[i]), i + 1
+        arc = (None, pieces.fallback) if node is None or done not in node else None  # B's arc
+        while True:
+            if one or at[j] is None:
+                arc = arc or node.get(done)
+                if arc is None:
+                    pass
+                elif one:
+                    if at[j] is None or cost + arc[1] < at[j][0]:
+                        at[j] = (cost + arc[1], i, None, arc[0])
+                else:
+                    b = s[i:j]
+                    x = made.get((v, b))
+                    if (weight(v, b) if x is None else x) < INF:
+                        at[j] = (cost + arc[1], i, b, arc[0])
+            arc = None
+            if j == n or node is None:
+                break
             node = node.get(s[j])
             if node is None:
                 break
             j += 1
-            arc = node.get(done)
-            if arc is not None and (one or at[j] is None):
-                arcs.append((j, *arc))
-        for j, piece_id, w in arcs:
-            to = at[j]
-            if one:
-                if to is None or cost + w < to[0]:
-                    at[j] = (cost + w, i, None, piece_id)
-            elif to is None:
-                b = s[i:j]
-                x = made.get((v, b))
-                if (weight(v, b) if x is None else x) < INF:
-                    at[j] = (cost + w, i, b, piece_id)
     out, i = [], len(s)
     while i:
         _, j, _, piece_id = at[i]
@@ -308,6 +308,7 @@ class Transducer:
         space = (lambda s: s.replace(META, " ")) if escape else (lambda s: s)
         self.out = [bytes([int(p[0][3:5], 16)]) if p[2] == BYTE else b"" if p[2] == CONTROL else " ⁇ ".encode() if p[2] == UNKNOWN else space(p[0]).encode() for p in pieces]
         self.small = np.uint16 if len(pieces) <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.small).char
         inner = {c for p in arcs for c in p if len(p) > 1}
         after = {b for p in arcs for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
         marks = "".join(re.escape(c) for c in "\n\t.,;:!?()\"'-/|*#%$&+=<>[]{}" if c not in after)
@@ -333,22 +334,23 @@ class Transducer:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
-        return np.array(out, self.small).tobytes(), state
+        return array(self.code, out).tobytes(), state
 
     def encode(self, text: str) -> np.ndarray:
         if self.map is not None:
             text = self.map.apply(text)
-        state, out = Normaliser.START, []
+        state, out, caches = Normaliser.START, [], self.young
+        add = out.append
         for u in self.unit.findall(text):
-            young = self.young[state]
-            got = young.get(u)
+            got = caches[state].get(u)
             if got is None:
+                young = caches[state]
                 got = self.old[state].get(u) or self._path(state, u)
                 if len(u) <= 48:
                     young[u] = got
                     if len(young) > CACHE:
                         self.old[state], self.young[state] = young, {}
-            out.append(got[0])
+            add(got[0])
             state = got[1]
         ids = np.frombuffer(b"".join(out), self.small).astype(np.int32)
         if not self.bytes and len(ids):  # a run of unknown characters is one id, across cuts too
